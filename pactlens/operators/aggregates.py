@@ -33,9 +33,10 @@ def ordered_lists(
     df: DataFrame,
     keys: Sequence[str],
     lists: dict[str, tuple[Column, Sequence[Column], str]],
+    also: dict[str, Column] | None = None,
     limit_bytes: int = LIST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Several ordered lists per key in one grouping: name -> (value, order, separator).
+    """Several ordered lists per key in one grouping: name -> (value, order, separator); `also` adds plain aggregates.
 
     A first, map-side combined pass measures the lists of each key; only keys whose lists fit are
     gathered, and a key that does not fit fails the job there, before its rows are shuffled.
@@ -54,7 +55,9 @@ def ordered_lists(
     for test in fits[1:]:
         condition = condition & test
     gathered = df.join(sizes, condition, "left_semi")
-    return gathered.groupBy(*keys).agg(*[list_column(*spec).alias(name) for name, spec in lists.items()])
+    columns = [list_column(*spec).alias(name) for name, spec in lists.items()]
+    columns += [aggregate.alias(name) for name, aggregate in (also or {}).items()]
+    return gathered.groupBy(*keys).agg(*columns)
 
 
 def latest(value: Column, order: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.functions.conditional import yes_no
-from pactlens.functions.text import full_name, split_list
+from pactlens.functions.text import full_name, parse_list, split_list
 from pactlens.operators.aggregates import latest, list_column, lowest
 
 
@@ -57,13 +57,41 @@ def with_city_code(df: DataFrame, cities: DataFrame, city_name: str, country: st
     return with_lookup(keyed, lookup, {"u_city": "cn", "u_country": "cc"}, "city_code", name).drop("u_city", "u_country")
 
 
-def location_cities(hierarchy: DataFrame, level: str, code: str) -> DataFrame | None:
+def location_cities(hierarchy: DataFrame, level: str, codes: str | None) -> DataFrame | None:
     """City codes below a COUNTRY, REGION or TERRITORY; None for a level without a hierarchy lookup."""
     column = {"COUNTRY": "country_code", "REGION": "region_code", "TERRITORY": "territory_code"}.get(level)
     if column is None:
         return None
-    codes = [item.strip() for item in code.split(",") if item.strip()] if level == "TERRITORY" else [code]
-    return hierarchy.where(F.col(column).isin(codes)).select(F.col("location_code").alias("city_code"))
+    return hierarchy.where(F.col(column).isin(parse_list(codes) or [])).select(F.col("location_code").alias("city_code"))
+
+
+def location_scope(df: DataFrame, hierarchy: DataFrame, level: str | None, codes: str | None, soto: str | None) -> DataFrame:
+    """NETWORK passes all; sold-outside agreements match by group country, others by the header's city."""
+    if (level or "NETWORK") == "NETWORK":
+        return df
+    soto = soto or "N"
+    items = parse_list(codes) or []
+    if soto == "Y":
+        return df.where(F.col("group_country_code").isin(items) & (F.col("master_agreement") == "N"))
+    if soto == "N" and level == "CITY":
+        return df.where(F.col("incentive_city").isin(items))
+    cities = location_cities(hierarchy, level, codes)
+    if soto != "N" or cities is None:
+        return df.where(F.lit(False))
+    return df.join(cities, df["incentive_city"] == cities["city_code"], "left_semi")
+
+
+def left_join_spread(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, spread_by: str) -> DataFrame:
+    """Left join on a key that is NULL in many rows.
+
+    Rows without a key cannot match, so they are spread over the partitions instead of all meeting in one.
+    """
+    keyed = df.withColumn(
+        "join_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(4096)).cast("int")).otherwise(F.lit(-1))
+    )
+    salted = lookup.withColumn("lookup_salt", F.lit(-1))
+    condition = (keyed["join_salt"] == salted["lookup_salt"]) & (keyed[key] == salted[lookup_key])
+    return keyed.join(salted, condition, "left").drop("join_salt", "lookup_salt", lookup_key)
 
 
 def header_with_parent_group(headers: DataFrame, groups: DataFrame) -> DataFrame:
@@ -72,7 +100,7 @@ def header_with_parent_group(headers: DataFrame, groups: DataFrame) -> DataFrame
         F.col("inc_hdr_id").alias("parent_hdr_id"),
         F.col("forecast_base_rev").alias("parent_forecast"),
     )
-    return headers.join(parents, headers["parent_inc_id"] == F.col("parent_hdr_id"), "left")
+    return left_join_spread(headers, parents, "parent_inc_id", "parent_hdr_id", "inc_hdr_id")
 
 
 def headline_groups(groups: DataFrame) -> DataFrame:

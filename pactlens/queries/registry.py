@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlens.queries.fragments import AS_OF  # noqa: F401
 from pactlens.sources.standins import DUCKDB, standin_sql, standin_tables
 from pactlens.sources.tables import AgreementTables
 
-AS_OF = "1999-06-30"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,7 +61,7 @@ def with_standins(body: str) -> str:
     """Prefix the SQL with a CTE for every stand-in table it names."""
     body = body.strip()
     ctes = [
-        f"{name} AS ({statement})" for name, (_, statement) in _STANDINS.items() if re.search(rf"\b(FROM|JOIN)\s+{name}\b", body)
+        f"{name} AS ({statement})" for name, (_, statement) in _STANDINS.items() if re.search(rf"\b{name}\b", body)
     ]
     if not ctes:
         return body

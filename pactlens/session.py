@@ -21,7 +21,7 @@ def build_session(app_name: str = "pactlens", master: str | None = None, shuffle
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
