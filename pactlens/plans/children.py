@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from pactlens.functions.conditional import decode
 from pactlens.operators.aggregates import ordered_lists
 from pactlens.operators.joins import codes_of_type, left_join_spread, payout_chain, rule_slabs, with_lookup
-from pactlens.schemas import EXCEPTION_CODE_TYPES, FREQUENCY_CODE_TYPE, NOT_APPLICABLE, OVERALL_PRODUCT, SPLIT_PRODUCTS
+from pactlens.schemas import (
+    CHANNEL_CODE_TYPE,
+    EXCEPTION_CODE_TYPES,
+    FREQUENCY_CODE_TYPE,
+    NOT_APPLICABLE,
+    OVERALL_PRODUCT,
+    SPLIT_PRODUCTS,
+)
 
 
 def only_for(child: DataFrame, ids: DataFrame | None, key: str = "inc_hdr_id", id_name: str = "inc_hdr_id") -> DataFrame:
@@ -195,3 +202,11 @@ def terminate_reasons(headers: DataFrame, plans: DataFrame, codes: DataFrame) ->
     tasks = ended.join(plans, ended["activity_id"] == plans["trx_dtl_id"]).select("inc_hdr_id", "remarks")
     named = with_lookup(tasks, codes, {"remarks": "code"}, "description", "reason", ("code_type",))
     return named.groupBy("inc_hdr_id").agg(F.min("reason").alias("terminatereason"))
+
+
+def channels(groups: DataFrame, codes: DataFrame) -> DataFrame:
+    """Per customer, description of its channel group; of several the lowest."""
+    wanted = groups.where(F.col("group_type") == CHANNEL_CODE_TYPE)
+    names = codes_of_type(codes, CHANNEL_CODE_TYPE)
+    joined = wanted.join(names, wanted["group_code"] == names["code"])
+    return joined.groupBy("customer_profile_id").agg(F.min("description").alias("channel_type"))

@@ -13,9 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.functions.conditional import label, nvl
+from pactlens.functions.conditional import label, nvl, yes_no
 from pactlens.operators import filters, joins
-from pactlens.operators.aggregates import with_flag
 from pactlens.operators.exchange import with_rate
 from pactlens.operators.joins import left_join_spread
 from pactlens.operators.ranking import page_of, rank_of_values
@@ -193,84 +192,89 @@ def page_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
     return materialize(rows.join(dates, F.col("created_date") == F.col("rank_key")).drop("rank_key"), "page-rows")
 
 
-def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, request: SearchRequest, ids: DataFrame | None) -> DataFrame:
-    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate."""
+def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, page: DataFrame | None = None) -> DataFrame:
+    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate. Only children of `page`, when given, are read."""
     all_groups = tables.inc_agreement_group
+    ids = None if page is None else page.select("inc_hdr_id")
     headline = joins.headline_groups(only_for(all_groups, ids)).select(
-        F.col("inc_hdr_id").alias("headline_hdr_id"),
+        "inc_hdr_id",
         F.col("expected_base_revenue").alias("headline_expected"),
         F.col("forecast_base_rev").alias("headline_forecast"),
         F.lit(True).alias("has_headline"),
     )
-    parent_ids = None if ids is None else rows.select(F.col("parent_inc_id").alias("inc_hdr_id")).distinct()
+    parent_ids = None if page is None else page.select(F.col("parent_inc_id").alias("inc_hdr_id"))
     parents = joins.headline_groups(only_for(all_groups, parent_ids)).select(
         F.col("inc_hdr_id").alias("parent_hdr_id"), F.col("forecast_base_rev").alias("parent_forecast"), F.lit(True).alias("parent_has_group")
     )
     rules = only_for(tables.inc_rule_comp_hdr, ids, key="rule_header_id")
-    sums = children.payout_sums(rules, tables.inc_add_hdr).withColumnRenamed("inc_hdr_id", "payout_hdr_id")
-    rows = rows.join(headline, rows["inc_hdr_id"] == headline["headline_hdr_id"], "left")
+    sums = children.payout_sums(rules, tables.inc_add_hdr)
+    rows = rows.join(headline, "inc_hdr_id", "left").join(sums, "inc_hdr_id", "left")
     rows = left_join_spread(rows, parents, "parent_inc_id", "parent_hdr_id", "inc_hdr_id")
-    rows = rows.join(sums, rows["inc_hdr_id"] == sums["payout_hdr_id"], "left")
     return measures.add_ratios(measures.add_amounts(rows))
 
 
-def add_child_summaries(rows: DataFrame, tables: AgreementTables, request: SearchRequest, ids: DataFrame) -> DataFrame:
-    """Lists, flags and labels of the page's headers, groups and customers."""
-    plb = request.product_code == PRODUCT_LOYALTY_BONUS
+def flag_frame(matches: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys with a marker column."""
+    return matches.select(key).distinct().withColumn(name, F.lit(True))
 
-    def by_header(rows: DataFrame, summary: DataFrame) -> DataFrame:
-        return rows.join(summary, "inc_hdr_id", "left")
 
-    exceptions = only_for(tables.inc_exceptions, ids)
-    rows = by_header(rows, children.addendum_lists(only_for(tables.inc_add_hdr, ids)))
-    rows = by_header(rows, children.exception_lists(exceptions))
-    rows = by_header(rows, children.exception_descriptions(exceptions, tables.mst_code_dtl))
-    rows = by_header(rows, children.first_deals(only_for(tables.offer_deal_codes, ids)))
-    rows = by_header(rows, children.master_tracks(only_for(tables.inc_associated_accounts, ids)))
-    rows = by_header(rows, children.terminate_reasons(only_for(tables.inc_hdr, ids), tables.svc_trx_task_plan, tables.mst_code_dtl))
-    rules = only_for(tables.inc_rule_comp_hdr, ids, key="rule_header_id")
-    targets = children.first_slab_targets(rules, tables.inc_rule_comp_period, tables.inc_rule_comp_value, tables.inc_rbd_products)
-    rows = by_header(rows, targets)
+def attach(keys: DataFrame, key: str, frames: list[DataFrame]) -> DataFrame:
+    """Distinct keys with the columns of frames that have one row per key."""
+    facts = keys.select(key).distinct()
+    for frame in frames:
+        facts = facts.join(frame, key, "left")
+    return facts
 
-    rows = with_flag(rows, only_for(tables.inc_process_dtl, ids), "inc_hdr_id", "has_approval")
-    rows = with_flag(rows, only_for(tables.inc_ticketing_agents, ids), "inc_hdr_id", "tkt_agent_exists")
-    spans = rows.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to"))
-    shrinking = joins.shrinking_rules(spans, rules, tables.inc_rule_comp_whatif)
-    rows = with_flag(rows, shrinking, "inc_hdr_id", "negative_growth")
 
-    if plb:
-        models = only_for(tables.inc_models, rows, key="agreement_group_id", id_name="agreement_group_id")
-        chain = (models, tables.inc_types, tables.inc_payout_types)
-        rows = with_flag(rows, children.fixed_fund_groups(models, tables.inc_types), "agreement_group_id", "is_fixed_fund")
-        uncapped = children.uncapped_groups(
-            *chain, tables.inc_rule_comp_hdr, tables.inc_rule_comp_period, tables.inc_rule_comp_value
-        )
-        rows = with_flag(rows, uncapped, "agreement_group_id", "is_all_prodcut_cap", present="N", absent="Y")
-        frequencies = children.payout_frequencies(*chain, tables.mst_code_dtl)
-        rows = rows.join(frequencies, "agreement_group_id", "left")
-    else:
-        for name in ("is_fixed_fund", "is_all_prodcut_cap", "payout_frequency"):
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-
-    customers = rows.select("customer_profile_id").distinct()
-
-    def of_customers(child: DataFrame) -> DataFrame:
-        return only_for(child, customers, "customer_profile_id", "customer_profile_id")
-
-    addresses = joins.location_address(of_customers(tables.customer_address), tables.mst_city, tables.mst_country)
-    rows = rows.join(addresses, "customer_profile_id", "left")
-    rows = joins.with_city_code(rows, tables.mst_city, "address_city_name", "address_country", "incentive_city_code")
-    people = joins.contact_people(of_customers(tables.contact_details), tables.contact_communication)
-    rows = rows.join(people, "customer_profile_id", "left")
-    channels = of_customers(tables.agent_custom_grp).where(F.col("group_type") == "CHNL_TYPE")
-    channel_names = joins.codes_of_type(tables.mst_code_dtl, "CHNL_TYPE")
-    channels = channels.join(channel_names, channels["group_code"] == channel_names["code"]).select("customer_profile_id", "description")
-    rows = joins.with_lookup(rows, channels, {"customer_profile_id": "customer_profile_id"}, "description", "channel_type")
-    rows = joins.with_lookup(rows, tables.mst_code_dtl, {"industry_sector": "code"}, "description", "industry_description", ("code_type",))
-    rows = joins.with_lookup(
-        rows, tables.mst_country, {"group_country_code": "country_code"}, "country_name", "group_country_code_desc"
-    )
-    return measures.with_pending_label(rows, tables.um_role_master)
+def header_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+    """One row per header of the page: lists, flags and sums of its children."""
+    ids = page.select("inc_hdr_id")
+    exceptions = only_for(tables.inc_exceptions, ids)
+    rules = only_for(tables.inc_rule_comp_hdr, ids, key="rule_header_id")
+    spans = page.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to"))
+    frames = [
+        children.addendum_lists(only_for(tables.inc_add_hdr, ids)),
+        children.exception_lists(exceptions),
+        children.exception_descriptions(exceptions, tables.mst_code_dtl),
+        children.first_deals(only_for(tables.offer_deal_codes, ids)),
+        children.master_tracks(only_for(tables.inc_associated_accounts, ids)),
+        children.terminate_reasons(page.select("inc_hdr_id", "status", "activity_id"), tables.svc_trx_task_plan, tables.mst_code_dtl),
+        children.first_slab_targets(rules, tables.inc_rule_comp_period, tables.inc_rule_comp_value, tables.inc_rbd_products),
+        flag_frame(only_for(tables.inc_process_dtl, ids), "inc_hdr_id", "is_approved"),
+        flag_frame(only_for(tables.inc_ticketing_agents, ids), "inc_hdr_id", "is_ticketed"),
+        flag_frame(joins.shrinking_rules(spans, rules, tables.inc_rule_comp_whatif), "inc_hdr_id", "is_shrinking"),
+        children.master_sums(only_for(tables.inc_agreement_group, ids)),
+    ]
+    return attach(ids, "inc_hdr_id", frames)
+
+
+def group_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+    """One row per group of the page: payout frequency and plan flags."""
+    ids = page.select("agreement_group_id")
+    models = only_for(tables.inc_models, ids, key="agreement_group_id", id_name="agreement_group_id")
+    chain = (models, tables.inc_types, tables.inc_payout_types)
+    rules = (tables.inc_rule_comp_hdr, tables.inc_rule_comp_period, tables.inc_rule_comp_value)
+    frames = [
+        children.payout_frequencies(*chain, tables.mst_code_dtl),
+        flag_frame(children.fixed_fund_groups(models, tables.inc_types), "agreement_group_id", "is_fixed"),
+        flag_frame(children.uncapped_groups(*chain, *rules), "agreement_group_id", "is_uncapped"),
+    ]
+    return attach(ids, "agreement_group_id", frames)
+
+
+def customer_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+    """One row per customer of the page: address, contacts and channel."""
+
+    def of_page(child: DataFrame) -> DataFrame:
+        return only_for(child, page, "customer_profile_id", "customer_profile_id")
+
+    addresses = joins.location_address(of_page(tables.customer_address), tables.mst_city, tables.mst_country)
+    frames = [
+        joins.with_city_code(addresses, tables.mst_city, "address_city_name", "address_country", "incentive_city_code"),
+        joins.contact_people(of_page(tables.contact_details), tables.contact_communication),
+        children.channels(of_page(tables.agent_custom_grp), tables.mst_code_dtl),
+    ]
+    return attach(page, "customer_profile_id", frames)
 
 
 def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFrame | None:
@@ -281,24 +285,30 @@ def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFr
     if not request.opens_result():
         return None
     as_of = request.as_of or dt.date.today()
-    rows = page_rows(tables, request)
-    ids = rows.select("inc_hdr_id").distinct()
-    rows = rows.withColumn("agreement_new_status", measures.derived_status(request.product_code, as_of))
+    page = page_rows(tables, request)
+    plb = request.product_code == PRODUCT_LOYALTY_BONUS
+    status = measures.derived_status(request.product_code, as_of)
+    rows = page.withColumn("agreement_new_status", status)
     rows = rows.where(filters.all_of(filters.in_list(F.col("agreement_new_status"), request.agreement_status)))
 
-    plb = request.product_code == PRODUCT_LOYALTY_BONUS
     if plb or request.product_code == PRODUCT_BASELINE:
         rows = with_rate(rows, tables.fx_rates, F.col("currency"), F.col("inc_from"), request.currency_code or "")
     else:
         rows = rows.withColumn("fx_rate", F.lit(None).cast("decimal(9,3)"))
     if plb:
-        rows = measures.round_amounts(add_loyalty_measures(rows, tables, request, ids))
+        rows = measures.round_amounts(add_loyalty_measures(rows, tables, page))
+        rows = rows.join(group_facts(tables, page), "agreement_group_id", "left")
     else:
         rows = measures.no_loyalty_measures(rows)
-    masters = children.master_sums(only_for(tables.inc_agreement_group, ids))
-    rows = measures.add_baseline(rows.join(masters, "inc_hdr_id", "left"))
-    rows = add_child_summaries(rows, tables, request, ids)
+    rows = rows.join(header_facts(tables, page), "inc_hdr_id", "left")
+    rows = rows.join(customer_facts(tables, page), "customer_profile_id", "left")
+    rows = joins.with_lookup(rows, tables.mst_code_dtl, {"industry_sector": "code"}, "description", "industry_description", ("code_type",))
+    rows = joins.with_lookup(
+        rows, tables.mst_country, {"group_country_code": "country_code"}, "country_name", "group_country_code_desc"
+    )
+    rows = measures.add_baseline(measures.with_pending_label(rows, tables.um_role_master))
 
+    nothing = F.lit(None).cast("string")
     computed = {
         "soto_agreement": nvl(F.col("soto_agreement"), "N"),
         "incentive_city": F.col("address_city_name"),
@@ -311,9 +321,15 @@ def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFr
         "miles_non_eligible": F.lit(0),
         "total_revenue": F.lit(0),
         "current_tier": label(F.col("tier_code"), TIER_LABELS),
-        "retro_miles": F.lit(None).cast("string"),
-        "retro_period": F.lit(None).cast("string"),
+        "retro_miles": nothing,
+        "retro_period": nothing,
+        "has_approval": yes_no(F.col("is_approved")),
+        "tkt_agent_exists": yes_no(F.col("is_ticketed")),
+        "negative_growth": yes_no(F.col("is_shrinking")),
         "is_super_plb": measures.is_super_agreement(request.product_code),
+        "payout_frequency": F.col("payout_frequency") if plb else nothing,
+        "is_fixed_fund": yes_no(F.col("is_fixed")) if plb else nothing,
+        "is_all_prodcut_cap": yes_no(F.col("is_uncapped").isNull()) if plb else nothing,
         "channel_type": measures.channel_label(request.product_code),
     }
-    return rows.select(*[computed.get(name, F.col(name)).alias(name) for name in SEARCH_COLUMNS])
+    return rows.select(*[computed[name].alias(name) if name in computed else F.col(name) for name in SEARCH_COLUMNS])

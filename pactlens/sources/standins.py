@@ -6,6 +6,7 @@ functions whose spelling differs. Row-wise formulas only, so a stand-in adds no
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -387,10 +388,14 @@ def standin_tables(spark: SparkSession, folder: str) -> AgreementTables:
     """The agreement tables derived from the test tables in `folder`."""
     statements = standin_sql(SPARK)
 
+    @functools.cache
+    def read(base: str):
+        return spark.read.parquet(f"{folder}/{base}.parquet")
+
     def load(name: str):
         base, statement = statements[name]
         if not base:
             return spark.sql(statement)
-        return spark.sql(statement.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{folder}/{base}.parquet"))
+        return spark.sql(statement.replace(f"FROM {base}", "FROM {base}"), base=read(base))
 
     return AgreementTables(spark, load)
