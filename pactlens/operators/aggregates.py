@@ -38,23 +38,15 @@ def ordered_lists(
 ) -> DataFrame:
     """Several ordered lists per key in one grouping: name -> (value, order, separator); `also` adds plain aggregates.
 
-    A first, map-side combined pass measures the lists of each key; only keys whose lists fit are
-    gathered, and a key that does not fit fails the job there, before its rows are shuffled.
+    A first, map-side combined pass finds the longest list; when it is over the limit the job fails there,
+    before any list is gathered.
     """
     widths = [F.octet_length(value.cast("string")) + len(separator) for value, _, separator in lists.values()]
     total = sum((F.coalesce(F.sum(width), F.lit(0)) for width in widths), F.lit(0))
-    message = F.concat(F.lit("list text over the limit for key "), F.concat_ws(",", *[F.col(key).cast("string") for key in keys]))
-    sizes = (
-        df.groupBy(*keys)
-        .agg(total.alias("list_bytes"))
-        .where(F.when(F.col("list_bytes") <= limit_bytes, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-        .select(*[F.col(key).alias(f"fit_{key}") for key in keys])
-    )
-    fits = [df[key].eqNullSafe(sizes[f"fit_{key}"]) for key in keys]
-    condition = fits[0]
-    for test in fits[1:]:
-        condition = condition & test
-    gathered = df.join(sizes, condition, "left_semi")
+    longest = df.groupBy(*keys).agg(total.alias("list_bytes")).agg(F.max("list_bytes")).scalar()
+    message = F.concat(F.lit("a list is too long for one row, bytes: "), longest.cast("string"))
+    fits = F.when(longest > limit_bytes, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    gathered = df.where(fits)
     columns = [list_column(*spec).alias(name) for name, spec in lists.items()]
     columns += [aggregate.alias(name) for name, aggregate in (also or {}).items()]
     return gathered.groupBy(*keys).agg(*columns)

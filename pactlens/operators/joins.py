@@ -89,7 +89,8 @@ def left_join_spread(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str
     keyed = df.withColumn(
         "join_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(4096)).cast("int")).otherwise(F.lit(-1))
     )
-    salted = lookup.withColumn("lookup_salt", F.lit(-1))
+    # Always -1, but not a literal: a constant would be folded out of the join keys.
+    salted = lookup.withColumn("lookup_salt", F.pmod(F.xxhash64(lookup_key), F.lit(1)).cast("int") - 1)
     condition = (keyed["join_salt"] == salted["lookup_salt"]) & (keyed[key] == salted[lookup_key])
     return keyed.join(salted, condition, "left").drop("join_salt", "lookup_salt", lookup_key)
 
@@ -191,15 +192,16 @@ def contact_people(contacts: DataFrame, communications: DataFrame) -> DataFrame:
     names = relevant.groupBy("customer_profile_id").agg(
         *[latest(name, F.when(test, F.col("contact_detail_id"))).alias(f"{kind}name") for kind, test in kinds.items()]
     )
-    mails = (
-        communications.where(F.col("communication_type") == "EMAIL")
-        .groupBy("contact_detail_id")
-        .agg(F.min("communication_value").alias("mail"))
-    )
+    mails = communications.where(F.col("communication_type") == "EMAIL").select("contact_detail_id", "communication_value")
+
+    def newest_mail(test: Column) -> Column:
+        entry = F.struct((-F.col("contact_detail_id")).alias("k"), F.col("communication_value").alias("v"))
+        return F.min(F.when(test, entry))["v"]
+
     emails = (
         relevant.join(mails, "contact_detail_id")
         .groupBy(F.col("customer_profile_id").alias("mail_customer"))
-        .agg(*[latest(F.col("mail"), F.when(test, F.col("contact_detail_id"))).alias(f"{kind}email") for kind, test in kinds.items()])
+        .agg(*[newest_mail(test).alias(f"{kind}email") for kind, test in kinds.items()])
     )
     return names.join(emails, names["customer_profile_id"] == emails["mail_customer"], "left").drop("mail_customer")
 

@@ -61,8 +61,10 @@ def with_rank(df: DataFrame, column: str, name: str = "rnk") -> DataFrame:
     total = ranks.agg(F.sum("rank_rows")).scalar()
     is_hot = F.col("rank_rows") * HOT_SHARE > total
     hot = ranks.where(is_hot).select(F.col("rank_key").alias("hot_key"), F.col("rnk").alias("hot_rank"))
+    # Always -1, but not a literal: a constant would be folded out of the join keys.
+    no_salt = F.pmod(F.xxhash64("rank_key"), F.lit(1)).cast("int") - 1
     cold = ranks.where(~is_hot).select(
-        F.col("rank_key").alias("cold_key"), F.lit(-1).alias("cold_salt"), F.col("rnk").alias("cold_rank")
+        F.col("rank_key").alias("cold_key"), no_salt.alias("cold_salt"), F.col("rnk").alias("cold_rank")
     )
     marked = df.join(F.broadcast(hot), F.col(column).eqNullSafe(F.col("hot_key")), "left")
     ranked = F.col("hot_rank").isNotNull()

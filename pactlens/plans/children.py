@@ -16,14 +16,51 @@ from pactlens.schemas import (
     OVERALL_PRODUCT,
     SPLIT_PRODUCTS,
 )
+from pactlens.session import materialize
 
 
-def only_for(child: DataFrame, ids: DataFrame | None, key: str = "inc_hdr_id", id_name: str = "inc_hdr_id") -> DataFrame:
-    """Child rows of the given parents; all of them when no parents are named."""
-    if ids is None:
+class AllRows:
+    """Scope of a whole-table job: every child row counts."""
+
+    def of(self, child: DataFrame, key: str, parent: str) -> DataFrame:
+        return child
+
+    def chained(self, child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
         return child
-    wanted = ids.select(F.col(id_name).alias("wanted_id"))
-    return child.join(wanted, child[key] == wanted["wanted_id"], "left_semi")
+
+
+class PageScope:
+    """Scope of one written page: only children of its headers, groups and customers are read.
+
+    The page's key ranges go to the child scans as plain bounds (ids grow with time, so a page of new
+    agreements skips most row groups); the exact test is a semi-join with the page, which Spark
+    broadcasts when its files are small. What a chain needs further on is written, so that the next
+    hop again starts from a frame of known size and no large table is shuffled for a small page.
+    """
+
+    KEYS = ("inc_hdr_id", "agreement_group_id", "customer_profile_id", "parent_inc_id")
+
+    def __init__(self, page: DataFrame):
+        self.page = page
+        bounds = page.agg(*[edge(key).alias(f"{name}_{key}") for key in self.KEYS for name, edge in (("lo", F.min), ("hi", F.max))])
+        self.bounds = bounds.first().asDict()
+
+    def of(self, child: DataFrame, key: str, parent: str) -> DataFrame:
+        """Child rows whose `key` occurs in the page's column `parent`."""
+        low, high = self.bounds[f"lo_{parent}"], self.bounds[f"hi_{parent}"]
+        if low is None:
+            return child.where(F.lit(False))
+        near = child.where(F.col(key).between(F.lit(low), F.lit(high)))
+        wanted = self.page.select(F.col(parent).alias("wanted_id"))
+        return near.join(wanted, near[key] == wanted["wanted_id"], "left_semi")
+
+    def chained(self, child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        """Rows of the next table of a chain, written: those whose `key` occurs in `parents`."""
+        return materialize(child.join(parents.select(key), key, "left_semi"), "page-chain")
+
+    def start(self, child: DataFrame, key: str, parent: str) -> DataFrame:
+        """First table of a chain, written."""
+        return materialize(self.of(child, key, parent), "page-chain")
 
 
 def addendum_lists(addenda: DataFrame) -> DataFrame:
@@ -76,7 +113,7 @@ def exception_descriptions(exceptions: DataFrame, codes: DataFrame) -> DataFrame
 
 
 def payout_sums(rules: DataFrame, addenda: DataFrame) -> DataFrame:
-    """Unconverted payout sums per header; rules of a cancelled addendum count 0 where the measure says so.
+    """Unconverted payout sums per header; rules of a cancelled addendum (found by id) count 0 where the measure says so.
 
     Conversion multiplies by one rate per (header, group), so sums are converted instead of single payouts.
     """
@@ -141,12 +178,15 @@ def uncapped_groups(
     models: DataFrame, types: DataFrame, payouts: DataFrame, rules: DataFrame, periods: DataFrame, values: DataFrame
 ) -> DataFrame:
     """Groups with a BASIC rule slab that has no upper measure."""
-    open_slabs = values.where(F.col("measure_to").isNull()).select("rule_comp_period_id")
-    open_payouts = rule_slabs(
-        rules.select("rule_comp_hdr_id", "payout_type_id"), periods.select("rule_comp_period_id", "rule_comp_hdr_id"), open_slabs
-    ).select("payout_type_id")
     basic = payout_chain(models, types.where(F.col("incentive_type") == "BASIC"), payouts)
-    return basic.join(open_payouts, "payout_type_id", "left_semi").select("agreement_group_id")
+    open_slabs = values.where(F.col("measure_to").isNull())
+    return (
+        basic.select("agreement_group_id", "payout_type_id")
+        .join(rules.select("rule_comp_hdr_id", "payout_type_id"), "payout_type_id")
+        .join(periods.select("rule_comp_period_id", "rule_comp_hdr_id"), "rule_comp_hdr_id")
+        .join(open_slabs.select("rule_comp_period_id"), "rule_comp_period_id")
+        .select("agreement_group_id")
+    )
 
 
 def payout_frequencies(models: DataFrame, types: DataFrame, payouts: DataFrame, codes: DataFrame) -> DataFrame:

@@ -19,11 +19,13 @@ from pactlens.operators.exchange import with_rate
 from pactlens.operators.joins import left_join_spread
 from pactlens.operators.ranking import page_of, rank_of_values
 from pactlens.plans import children, measures
-from pactlens.plans.children import only_for
+from pactlens.plans.children import AllRows, PageScope
 from pactlens.schemas import HEADER_COLUMNS, PRODUCT_BASELINE, PRODUCT_LOYALTY_BONUS, SEARCH_COLUMNS, TIER_LABELS
 from pactlens.session import materialize
 from pactlens.sources.tables import AgreementTables
 
+Scope = AllRows | PageScope
+
 GROUP_COLUMNS = {
     "agreement_group_id": "agreement_group_id",
     "effective_from": "effective_from",
@@ -106,9 +108,9 @@ def header_candidates(tables: AgreementTables, request: SearchRequest) -> DataFr
     )
 
 
-def matching_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
-    """Rows of the result before ranking: header x group x balances x open addenda, narrow columns only."""
-    headers = header_candidates(tables, request)
+def matching_rows(tables: AgreementTables, request: SearchRequest, candidates: DataFrame) -> DataFrame:
+    """Rows of the result before ranking: candidate header x group x balances x open addenda."""
+    headers = candidates
     if request.deal_code:
         deals = tables.inc_associated_accounts.where(F.col("deal_code") == request.deal_code).select("inc_hdr_id")
         headers = headers.join(deals, "inc_hdr_id", "left_semi")
@@ -158,12 +160,13 @@ def matching_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
     )
     rows = joins.location_scope(rows, tables.location_hierarchy, request.location_type, request.country, request.soto_ind)
 
-    ids = header_candidates(tables, request).select("inc_hdr_id")
-    miles = children.miles_summary(only_for(tables.offer_deal_codes, ids), tables.miles_info)
+    ids = candidates.select("inc_hdr_id")
+    deals = tables.offer_deal_codes.join(ids, "inc_hdr_id", "left_semi")
+    miles = children.miles_summary(deals, tables.miles_info)
     miles = miles.select(
         F.col("inc_hdr_id").alias("miles_hdr_id"), "miles_earned", "miles_redeemed", "miles_balance", "miles_expiry", "miles_expiry_date"
     )
-    addenda = children.open_rule_addenda(only_for(tables.inc_add_hdr, ids)).select(
+    addenda = children.open_rule_addenda(tables.inc_add_hdr.join(ids, "inc_hdr_id", "left_semi")).select(
         F.col("inc_hdr_id").alias("open_hdr_id"), F.col("cons_status").alias("open_cons_status"), F.col("add_hdr_id_list").alias("add_hdr_id")
     )
     rows = rows.join(addenda, rows["inc_hdr_id"] == addenda["open_hdr_id"], "left")
@@ -177,37 +180,35 @@ def matching_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
 def page_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
     """Rows of the wanted page with their rank, written once.
 
-    The page's dates are at most `page_size` rows. Their first and last go back into the request, so the
-    second pass reads only headers created in between.
+    The first pass only counts rows per creation date. The page's dates are at most `page_size` rows;
+    the second pass reads the headers created between the first and last of them, and writes those
+    before it joins, so that the joins of a small page start from a small side of known size.
     """
-    rows = matching_rows(tables, request)
-    ranks = rank_of_values(rows, "created_date")
+    candidates = header_candidates(tables, request)
+    ranks = rank_of_values(matching_rows(tables, request, candidates), "created_date")
     on_page = page_of(F.col("rnk"), request.page_number, request.page_size)
     dates = materialize(ranks.where(on_page).select("rank_key", "rnk"), "page-dates")
     first, last = dates.agg(F.min("rank_key"), F.max("rank_key")).first()
-    if first is None:
-        rows = rows.where(F.lit(False))
-    else:
-        rows = rows.where(F.col("created_date").between(F.lit(first), F.lit(last)))
-    return materialize(rows.join(dates, F.col("created_date") == F.col("rank_key")).drop("rank_key"), "page-rows")
+    created = F.col("created_date")
+    in_range = F.lit(False) if first is None else created.between(F.lit(first), F.lit(last))
+    near = materialize(candidates.where(in_range), "page-headers")
+    rows = matching_rows(tables, request, near).join(dates, created == F.col("rank_key")).drop("rank_key")
+    return materialize(rows, "page-rows")
 
 
-def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, page: DataFrame | None = None) -> DataFrame:
-    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate. Only children of `page`, when given, are read."""
-    all_groups = tables.inc_agreement_group
-    ids = None if page is None else page.select("inc_hdr_id")
-    headline = joins.headline_groups(only_for(all_groups, ids)).select(
+def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, scope: Scope, rules: DataFrame) -> DataFrame:
+    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate, `rules` are those of its headers."""
+    headline = joins.headline_groups(scope.of(tables.inc_agreement_group, "inc_hdr_id", "inc_hdr_id")).select(
         "inc_hdr_id",
         F.col("expected_base_revenue").alias("headline_expected"),
         F.col("forecast_base_rev").alias("headline_forecast"),
         F.lit(True).alias("has_headline"),
     )
-    parent_ids = None if page is None else page.select(F.col("parent_inc_id").alias("inc_hdr_id"))
-    parents = joins.headline_groups(only_for(all_groups, parent_ids)).select(
+    parents = joins.headline_groups(scope.of(tables.inc_agreement_group, "inc_hdr_id", "parent_inc_id")).select(
         F.col("inc_hdr_id").alias("parent_hdr_id"), F.col("forecast_base_rev").alias("parent_forecast"), F.lit(True).alias("parent_has_group")
     )
-    rules = only_for(tables.inc_rule_comp_hdr, ids, key="rule_header_id")
-    sums = children.payout_sums(rules, tables.inc_add_hdr)
+    cancelled = tables.inc_add_hdr.where(F.col("status") == "CANCELLED").select("add_hdr_id", "status")
+    sums = children.payout_sums(rules, scope.chained(cancelled, rules, "add_hdr_id"))
     rows = rows.join(headline, "inc_hdr_id", "left").join(sums, "inc_hdr_id", "left")
     rows = left_join_spread(rows, parents, "parent_inc_id", "parent_hdr_id", "inc_hdr_id")
     return measures.add_ratios(measures.add_amounts(rows))
@@ -226,55 +227,63 @@ def attach(keys: DataFrame, key: str, frames: list[DataFrame]) -> DataFrame:
     return facts
 
 
-def header_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+def header_facts(tables: AgreementTables, scope: PageScope, rules: DataFrame) -> DataFrame:
     """One row per header of the page: lists, flags and sums of its children."""
-    ids = page.select("inc_hdr_id")
-    exceptions = only_for(tables.inc_exceptions, ids)
-    rules = only_for(tables.inc_rule_comp_hdr, ids, key="rule_header_id")
+
+    def of_page(child: DataFrame) -> DataFrame:
+        return scope.of(child, "inc_hdr_id", "inc_hdr_id")
+
+    page = scope.page
+    exceptions = of_page(tables.inc_exceptions)
+    periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
     spans = page.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to"))
     frames = [
-        children.addendum_lists(only_for(tables.inc_add_hdr, ids)),
+        children.addendum_lists(of_page(tables.inc_add_hdr)),
         children.exception_lists(exceptions),
         children.exception_descriptions(exceptions, tables.mst_code_dtl),
-        children.first_deals(only_for(tables.offer_deal_codes, ids)),
-        children.master_tracks(only_for(tables.inc_associated_accounts, ids)),
+        children.first_deals(of_page(tables.offer_deal_codes)),
+        children.master_tracks(of_page(tables.inc_associated_accounts)),
         children.terminate_reasons(page.select("inc_hdr_id", "status", "activity_id"), tables.svc_trx_task_plan, tables.mst_code_dtl),
-        children.first_slab_targets(rules, tables.inc_rule_comp_period, tables.inc_rule_comp_value, tables.inc_rbd_products),
-        flag_frame(only_for(tables.inc_process_dtl, ids), "inc_hdr_id", "is_approved"),
-        flag_frame(only_for(tables.inc_ticketing_agents, ids), "inc_hdr_id", "is_ticketed"),
+        children.first_slab_targets(rules, periods, tables.inc_rule_comp_value, tables.inc_rbd_products),
+        flag_frame(of_page(tables.inc_process_dtl), "inc_hdr_id", "is_approved"),
+        flag_frame(of_page(tables.inc_ticketing_agents), "inc_hdr_id", "is_ticketed"),
         flag_frame(joins.shrinking_rules(spans, rules, tables.inc_rule_comp_whatif), "inc_hdr_id", "is_shrinking"),
-        children.master_sums(only_for(tables.inc_agreement_group, ids)),
+        children.master_sums(of_page(tables.inc_agreement_group)),
     ]
-    return attach(ids, "inc_hdr_id", frames)
+    return attach(page, "inc_hdr_id", frames)
 
 
-def group_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+def group_facts(tables: AgreementTables, scope: PageScope) -> DataFrame:
     """One row per group of the page: payout frequency and plan flags."""
-    ids = page.select("agreement_group_id")
-    models = only_for(tables.inc_models, ids, key="agreement_group_id", id_name="agreement_group_id")
-    chain = (models, tables.inc_types, tables.inc_payout_types)
-    rules = (tables.inc_rule_comp_hdr, tables.inc_rule_comp_period, tables.inc_rule_comp_value)
+    models = scope.start(tables.inc_models, "agreement_group_id", "agreement_group_id")
+    types = scope.chained(tables.inc_types, models, "inc_model_id")
+    payouts = scope.chained(tables.inc_payout_types, types, "inc_type_id")
+    rules = scope.chained(tables.inc_rule_comp_hdr, payouts, "payout_type_id")
+    periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
+    values = scope.chained(tables.inc_rule_comp_value, periods, "rule_comp_period_id")
+    uncapped = children.uncapped_groups(models, types, payouts, rules, periods, values)
     frames = [
-        children.payout_frequencies(*chain, tables.mst_code_dtl),
-        flag_frame(children.fixed_fund_groups(models, tables.inc_types), "agreement_group_id", "is_fixed"),
-        flag_frame(children.uncapped_groups(*chain, *rules), "agreement_group_id", "is_uncapped"),
+        children.payout_frequencies(models, types, payouts, tables.mst_code_dtl),
+        flag_frame(children.fixed_fund_groups(models, types), "agreement_group_id", "is_fixed"),
+        flag_frame(uncapped, "agreement_group_id", "is_uncapped"),
     ]
-    return attach(ids, "agreement_group_id", frames)
+    return attach(scope.page, "agreement_group_id", frames)
 
 
-def customer_facts(tables: AgreementTables, page: DataFrame) -> DataFrame:
+def customer_facts(tables: AgreementTables, scope: PageScope) -> DataFrame:
     """One row per customer of the page: address, contacts and channel."""
 
     def of_page(child: DataFrame) -> DataFrame:
-        return only_for(child, page, "customer_profile_id", "customer_profile_id")
+        return scope.of(child, "customer_profile_id", "customer_profile_id")
 
     addresses = joins.location_address(of_page(tables.customer_address), tables.mst_city, tables.mst_country)
+    contacts = scope.start(tables.contact_details, "customer_profile_id", "customer_profile_id")
     frames = [
         joins.with_city_code(addresses, tables.mst_city, "address_city_name", "address_country", "incentive_city_code"),
-        joins.contact_people(of_page(tables.contact_details), tables.contact_communication),
+        joins.contact_people(contacts, tables.contact_communication),
         children.channels(of_page(tables.agent_custom_grp), tables.mst_code_dtl),
     ]
-    return attach(page, "customer_profile_id", frames)
+    return attach(scope.page, "customer_profile_id", frames)
 
 
 def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFrame | None:
@@ -286,6 +295,8 @@ def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFr
         return None
     as_of = request.as_of or dt.date.today()
     page = page_rows(tables, request)
+    scope = PageScope(page)
+    rules = scope.start(tables.inc_rule_comp_hdr, "rule_header_id", "inc_hdr_id")
     plb = request.product_code == PRODUCT_LOYALTY_BONUS
     status = measures.derived_status(request.product_code, as_of)
     rows = page.withColumn("agreement_new_status", status)
@@ -296,12 +307,12 @@ def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFr
     else:
         rows = rows.withColumn("fx_rate", F.lit(None).cast("decimal(9,3)"))
     if plb:
-        rows = measures.round_amounts(add_loyalty_measures(rows, tables, page))
-        rows = rows.join(group_facts(tables, page), "agreement_group_id", "left")
+        rows = measures.round_amounts(add_loyalty_measures(rows, tables, scope, rules))
+        rows = rows.join(group_facts(tables, scope), "agreement_group_id", "left")
     else:
         rows = measures.no_loyalty_measures(rows)
-    rows = rows.join(header_facts(tables, page), "inc_hdr_id", "left")
-    rows = rows.join(customer_facts(tables, page), "customer_profile_id", "left")
+    rows = rows.join(header_facts(tables, scope, rules), "inc_hdr_id", "left")
+    rows = rows.join(customer_facts(tables, scope), "customer_profile_id", "left")
     rows = joins.with_lookup(rows, tables.mst_code_dtl, {"industry_sector": "code"}, "description", "industry_description", ("code_type",))
     rows = joins.with_lookup(
         rows, tables.mst_country, {"group_country_code": "country_code"}, "country_name", "group_country_code_desc"
