@@ -115,6 +115,11 @@ def headline_groups(groups: DataFrame) -> DataFrame:
     )
 
 
+def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs in `keys` (EXISTS / IN). Keys are reduced to distinct ones before they are shuffled."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def payout_chain(models: DataFrame, types: DataFrame, payouts: DataFrame) -> DataFrame:
     """Agreement group -> model -> type -> payout type."""
     return (
@@ -134,21 +139,23 @@ def approved_headers(approvals: DataFrame, groups: DataFrame, user_name: str) ->
     mine = approvals.where(
         (F.col("actioned_by") == user_name) & (F.col("action_code") == "APPROVE") & (F.col("status") == "APPROVED")
     ).select(F.col("wf_request_id").alias("workflow_id"))
-    return groups.select("inc_hdr_id", "workflow_id").join(mine, "workflow_id", "left_semi").select("inc_hdr_id")
+    return groups.select("inc_hdr_id", "workflow_id").join(mine.distinct(), "workflow_id", "left_semi").select("inc_hdr_id").distinct()
 
 
-def shrinking_rules(headers: DataFrame, rules: DataFrame, whatifs: DataFrame) -> DataFrame:
-    """Headers with a what-if of negative growth inside the agreement's own period."""
+def shrinking_headers(headers: DataFrame, rules: DataFrame, whatifs: DataFrame) -> DataFrame:
+    """Ids of headers with a what-if of negative growth inside the agreement's own period.
+
+    An inner join reduced to distinct ids, not a semi-join: Spark can then split a header that owns very many what-ifs.
+    """
     negative = whatifs.where(F.col("growth_perc") < 0).join(
         rules.select("rule_comp_hdr_id", "rule_header_id"), "rule_comp_hdr_id"
     )
-    return headers.join(
-        negative,
+    inside = (
         (headers["inc_hdr_id"] == negative["rule_header_id"])
         & (negative["period_from"] >= headers["effective_from"])
-        & (negative["period_to"] <= headers["effective_to"]),
-        "left_semi",
+        & (negative["period_to"] <= headers["effective_to"])
     )
+    return negative.join(headers, inside).select("inc_hdr_id").distinct()
 
 
 def user_roles(users: DataFrame, privileges: DataFrame, roles: DataFrame) -> DataFrame:

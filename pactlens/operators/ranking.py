@@ -12,13 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pactlens.session import materialize
+
 HOT_SHARE = 1000
 PAGE_BROADCAST_ROWS = 100_000
 
 
 def rank_of_values(df: DataFrame, column: str) -> DataFrame:
-    """One row per distinct date: `rank_key`, `rank_rows` (rows having it) and `rnk`, newest and NULL first."""
-    counts = df.groupBy(F.col(column).alias("rank_key")).agg(F.count(F.lit(1)).alias("rank_rows"))
+    """One row per distinct date: `rank_key`, `rank_rows` (rows having it) and `rnk`, newest and NULL first.
+
+    The counts are written once: the steps below read that small table, so `df` is evaluated a single time.
+    """
+    counts = materialize(df.groupBy(F.col(column).alias("rank_key")).agg(F.count(F.lit(1)).alias("rank_rows")), "date-counts")
     counts = counts.withColumn("rank_day", F.to_date("rank_key")).withColumn(
         "rank_second", F.date_format("rank_key", "HH:mm:ss")
     )
@@ -57,7 +62,7 @@ def with_rank(df: DataFrame, column: str, name: str = "rnk") -> DataFrame:
     Dates that hold more than a thousandth of all rows (so fewer than a thousand dates) get their rank
     by broadcast; those rows then spread over the partitions of the second join, which ranks the rest.
     """
-    ranks = rank_of_values(df, column)
+    ranks = materialize(rank_of_values(df, column), "date-ranks")
     total = ranks.agg(F.sum("rank_rows")).scalar()
     is_hot = F.col("rank_rows") * HOT_SHARE > total
     hot = ranks.where(is_hot).select(F.col("rank_key").alias("hot_key"), F.col("rnk").alias("hot_rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.conditional import decode
 from pactlens.operators.aggregates import ordered_lists
-from pactlens.operators.joins import codes_of_type, left_join_spread, payout_chain, rule_slabs, with_lookup
+from pactlens.operators.joins import codes_of_type, having, left_join_spread, payout_chain, rule_slabs, with_lookup
 from pactlens.schemas import (
     CHANNEL_CODE_TYPE,
     EXCEPTION_CODE_TYPES,
@@ -51,12 +51,12 @@ class PageScope:
         if low is None:
             return child.where(F.lit(False))
         near = child.where(F.col(key).between(F.lit(low), F.lit(high)))
-        wanted = self.page.select(F.col(parent).alias("wanted_id"))
+        wanted = self.page.select(F.col(parent).alias("wanted_id")).distinct()
         return near.join(wanted, near[key] == wanted["wanted_id"], "left_semi")
 
     def chained(self, child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
         """Rows of the next table of a chain, written: those whose `key` occurs in `parents`."""
-        return materialize(child.join(parents.select(key), key, "left_semi"), "page-chain")
+        return materialize(having(child, parents, key), "page-chain")
 
     def start(self, child: DataFrame, key: str, parent: str) -> DataFrame:
         """First table of a chain, written."""

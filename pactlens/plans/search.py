@@ -112,11 +112,11 @@ def matching_rows(tables: AgreementTables, request: SearchRequest, candidates: D
     """Rows of the result before ranking: candidate header x group x balances x open addenda."""
     headers = candidates
     if request.deal_code:
-        deals = tables.inc_associated_accounts.where(F.col("deal_code") == request.deal_code).select("inc_hdr_id")
-        headers = headers.join(deals, "inc_hdr_id", "left_semi")
+        deals = tables.inc_associated_accounts.where(F.col("deal_code") == request.deal_code)
+        headers = joins.having(headers, deals, "inc_hdr_id")
     if request.approved_by_me == "Y":
         mine = joins.approved_headers(tables.wf_approval_history, tables.inc_agreement_group, request.user_name)
-        headers = headers.join(mine, "inc_hdr_id", "left_semi")
+        headers = joins.having(headers, mine, "inc_hdr_id")
     elif request.approved_by_me is not None:
         headers = headers.where(F.lit(False))
 
@@ -133,8 +133,8 @@ def matching_rows(tables: AgreementTables, request: SearchRequest, candidates: D
     )
     if request.payout_frequency and request.payout_frequency != "ALL":
         paid = joins.payout_chain(tables.inc_models, tables.inc_types, tables.inc_payout_types)
-        paid = paid.where(F.col("payment_frequency_type") == request.payout_frequency).select("agreement_group_id")
-        groups = groups.join(paid, "agreement_group_id", "left_semi")
+        paid = paid.where(F.col("payment_frequency_type") == request.payout_frequency)
+        groups = joins.having(groups, paid, "agreement_group_id")
     groups = groups.select(F.col("inc_hdr_id"), *[F.col(old).alias(new) for old, new in GROUP_COLUMNS.items()])
 
     headers = headers.select(
@@ -236,7 +236,7 @@ def header_facts(tables: AgreementTables, scope: PageScope, rules: DataFrame) ->
     page = scope.page
     exceptions = of_page(tables.inc_exceptions)
     periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
-    spans = page.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to"))
+    spans = page.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to")).distinct()
     frames = [
         children.addendum_lists(of_page(tables.inc_add_hdr)),
         children.exception_lists(exceptions),
@@ -247,7 +247,7 @@ def header_facts(tables: AgreementTables, scope: PageScope, rules: DataFrame) ->
         children.first_slab_targets(rules, periods, tables.inc_rule_comp_value, tables.inc_rbd_products),
         flag_frame(of_page(tables.inc_process_dtl), "inc_hdr_id", "is_approved"),
         flag_frame(of_page(tables.inc_ticketing_agents), "inc_hdr_id", "is_ticketed"),
-        flag_frame(joins.shrinking_rules(spans, rules, tables.inc_rule_comp_whatif), "inc_hdr_id", "is_shrinking"),
+        flag_frame(joins.shrinking_headers(spans, rules, tables.inc_rule_comp_whatif), "inc_hdr_id", "is_shrinking"),
         children.master_sums(of_page(tables.inc_agreement_group)),
     ]
     return attach(page, "inc_hdr_id", frames)

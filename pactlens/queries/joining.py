@@ -100,7 +100,7 @@ def join_self_parent(t):
 )
 def join_chain_exists(t):
     paid = joins.payout_chain(t.inc_models, t.inc_types, t.inc_payout_types).where(F.col("payment_frequency_type") == "QTR")
-    return t.inc_agreement_group.select("agreement_group_id").join(paid, "agreement_group_id", "left_semi")
+    return joins.having(t.inc_agreement_group.select("agreement_group_id"), paid, "agreement_group_id")
 
 
 @query(
@@ -109,8 +109,8 @@ def join_chain_exists(t):
         WHERE a.inc_hdr_id = h.inc_hdr_id AND a.deal_code = 'D12')""",
 )
 def semi_join_exists(t):
-    deals = t.inc_associated_accounts.where(F.col("deal_code") == "D12").select("inc_hdr_id")
-    return t.inc_hdr.select("inc_hdr_id", "inc_name").join(deals, "inc_hdr_id", "left_semi")
+    deals = t.inc_associated_accounts.where(F.col("deal_code") == "D12")
+    return joins.having(t.inc_hdr.select("inc_hdr_id", "inc_name"), deals, "inc_hdr_id")
 
 
 @query(
@@ -131,8 +131,8 @@ def existence_join_or(t):
         SELECT customer_profile_id FROM customer_profile WHERE customer_code IN ('CC17', 'CC4', 'CC93'))""",
 )
 def semi_join_in(t):
-    wanted = t.customer_profile.where(F.col("customer_code").isin("CC17", "CC4", "CC93")).select("customer_profile_id")
-    return t.lead_header.join(wanted, "customer_profile_id", "left_semi").select("lead_id", "status")
+    wanted = t.customer_profile.where(F.col("customer_code").isin("CC17", "CC4", "CC93"))
+    return joins.having(t.lead_header, wanted, "customer_profile_id").select("lead_id", "status")
 
 
 @query(
@@ -143,7 +143,8 @@ def semi_join_in(t):
 )
 def theta_semi_join(t):
     headers = t.inc_hdr.select("inc_hdr_id", "effective_from", "effective_to")
-    return joins.shrinking_rules(headers, t.inc_rule_comp_hdr, t.inc_rule_comp_whatif).select("inc_hdr_id", "effective_from")
+    shrinking = joins.shrinking_headers(headers, t.inc_rule_comp_hdr, t.inc_rule_comp_whatif)
+    return joins.having(headers, shrinking, "inc_hdr_id").select("inc_hdr_id", "effective_from")
 
 
 @query(
