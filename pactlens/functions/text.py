@@ -56,4 +56,4 @@ def parse_list(text: str | None) -> list[str] | None:
 
 def split_list(column: Column) -> Column:
     """Comma-separated text to an array of trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(column, ","), F.trim), lambda item: item != "")
+    return F.filter(F.transform(F.split(column, ","), lambda item: F.trim(item)), lambda item: item != "")
