@@ -20,7 +20,8 @@ def round_half_away(column: Column, places: int) -> Column:
 
 def quotient(numerator: Column, denominator: Column) -> Column:
     """Division that yields NULL on a zero denominator."""
-    return F.try_divide(money(numerator), money(denominator))
+    divisor = money(denominator)
+    return F.when(divisor != 0, money(numerator) / divisor)
 
 
 def percent(numerator: Column, denominator: Column, places: int = 3) -> Column:

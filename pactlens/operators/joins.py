@@ -106,13 +106,15 @@ def header_with_parent_group(headers: DataFrame, groups: DataFrame) -> DataFrame
 
 def headline_groups(groups: DataFrame) -> DataFrame:
     """One group per header: a master group first, then the lowest id."""
-    not_master = F.when(F.col("master_agreement") == "Y", 0).otherwise(1)
-    values = F.struct("agreement_group_id", "expected_base_revenue", "forecast_base_rev")
-    return (
-        groups.groupBy("inc_hdr_id")
-        .agg(F.min(F.struct(not_master.alias("m"), F.col("agreement_group_id").alias("id"), values.alias("v"))).alias("g"))
-        .select("inc_hdr_id", "g.v.agreement_group_id", "g.v.expected_base_revenue", "g.v.forecast_base_rev")
-    )
+    any_id = F.col("agreement_group_id")
+    master_id = F.when(F.col("master_agreement") == "Y", any_id)
+    names = ("agreement_group_id", "expected_base_revenue", "forecast_base_rev")
+    # Plain numbers as aggregation buffers keep this a hash aggregate; a minimum over structs would sort.
+    firsts = [F.min_by(name, order).alias(f"{kind}_{name}") for name in names for kind, order in (("m", master_id), ("a", any_id))]
+    chosen = [
+        F.when(F.col("m_agreement_group_id").isNotNull(), F.col(f"m_{name}")).otherwise(F.col(f"a_{name}")).alias(name) for name in names
+    ]
+    return groups.groupBy("inc_hdr_id").agg(*firsts).select("inc_hdr_id", *chosen)
 
 
 def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -205,8 +205,8 @@ def log_fields(record: Column) -> dict[str, Column]:
     stamp = F.regexp_extract(record, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})", 1)
     fields = {"timestamp": F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit(LOG_TIME_FORMAT)).cast("timestamp_ntz")}
     for position, label in enumerate(LOG_LABELS):
-        following = "|".join(rf"\s{name}:" for name in LOG_LABELS[position + 1 :])
-        end = rf"(?={following}|$)" if following else "$"
+        following = "|".join(LOG_LABELS[position + 1 :])
+        end = rf"(?=\s(?:{following}):|$)" if following else "$"
         pattern = rf"(?s)(?:^|\s){label}:(.*?){end}"
         fields[label.lower().replace(" ", "_")] = blank_as_null(
             F.regexp_replace(F.regexp_extract(record, pattern, 1), r"^\s+|\s+$", "")
