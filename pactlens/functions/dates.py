@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bounds that stand in for a missing date parameter.
 CREATED_FROM_DEFAULT = dt.date(2000, 1, 1)
@@ -45,6 +46,25 @@ def day_between(column: Column, low: dt.date, high: dt.date) -> Column:
     return on_or_after(column, low) & on_or_before(column, high)
 
 
+def within_bounds(column: Column, times: DataFrame, name: str) -> Column:
+    """The column lies between the least and the greatest time of a frame; false when it has none.
+
+    The two bounds pass through the driver in a form free of time zones and end up as literals that a
+    scan can prune by.
+    """
+    kind = times.schema[name].dataType
+    zoned = isinstance(kind, T.TimestampType)
+
+    def as_plain(bound: Column) -> Column:
+        return F.unix_micros(bound) if zoned else bound.cast("string")
+
+    def as_literal(value) -> Column:
+        return F.timestamp_micros(F.lit(value)) if zoned else F.lit(value).cast(kind)
+
+    first, last = times.agg(as_plain(F.min(name)), as_plain(F.max(name))).first()
+    return F.lit(False) if first is None else column.between(as_literal(first), as_literal(last))
+
+
 def day_and_month(column: Column) -> Column:
     return F.date_format(column, "ddMM")
 

@@ -58,7 +58,16 @@ def require_text_width(df: DataFrame, column: str, limit: int) -> DataFrame:
 def widen_catalog_text(spark: SparkSession, tables: Sequence[str], column: str, limit: int) -> None:
     """Declare the column VARCHAR(limit) in several catalog tables, say a base table and its audit copy.
 
-    The catalog must support the change of type; `text_violations` tells beforehand whether the data fits.
+    For catalogs that can change a column's type; elsewhere use `copy_widened`.
     """
     for table in tables:
         spark.sql(f"ALTER TABLE {table} ALTER COLUMN {column} TYPE VARCHAR({limit})")
+
+
+def copy_widened(df: DataFrame, target: str, column: str, limit: int, using: str = "parquet") -> None:
+    """Write the table as a new catalog table whose column is VARCHAR(limit); Spark refuses longer texts."""
+    columns = [
+        f"`{field.name}` {f'VARCHAR({limit})' if field.name == column else field.dataType.simpleString()}" for field in df.schema.fields
+    ]
+    df.sparkSession.sql(f"CREATE TABLE {target} ({', '.join(columns)}) USING {using}")
+    df.write.insertInto(target)

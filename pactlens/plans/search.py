@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.functions.conditional import label, nvl, yes_no
+from pactlens.functions.dates import within_bounds
 from pactlens.operators import filters, joins
 from pactlens.operators.exchange import with_rate
 from pactlens.operators.joins import left_join_spread
@@ -188,9 +189,8 @@ def page_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
     ranks = rank_of_values(matching_rows(tables, request, candidates), "created_date")
     on_page = page_of(F.col("rnk"), request.page_number, request.page_size)
     dates = materialize(ranks.where(on_page).select("rank_key", "rnk"), "page-dates")
-    first, last = dates.agg(F.min("rank_key"), F.max("rank_key")).first()
     created = F.col("created_date")
-    in_range = F.lit(False) if first is None else created.between(F.lit(first), F.lit(last))
+    in_range = within_bounds(created, dates, "rank_key")
     near = materialize(candidates.where(in_range), "page-headers")
     rows = matching_rows(tables, request, near).join(dates, created == F.col("rank_key")).drop("rank_key")
     return materialize(rows, "page-rows")

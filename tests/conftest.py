@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    os.chdir(tmp_path_factory.mktemp("work"))  # catalog tables of the tests go here
     session = build_session("pactlens-tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session

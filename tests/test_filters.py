@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlens.functions.conditional import decode
+from pactlens.functions.dates import within_bounds
 from pactlens.functions.text import contains_ignoring_case, empty_as_null, join_text, parse_list, split_list
 from pactlens.operators import filters
 
@@ -94,6 +95,19 @@ def test_created_between_counts_whole_days(spark):
     assert ids(df, filters.created_between(F.col("c"), None, None)) == {2, 3}
 
 
+@pytest.mark.parametrize("kind", ["TIMESTAMP_NTZ", "TIMESTAMP", "DATE"])
+def test_within_bounds_of_a_frame(spark, kind):
+    times = [dt.datetime(2020, 1, d, 5, 6, 7, 123456) for d in (2, 3, 4)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(times)], "id INT, t TIMESTAMP_NTZ").withColumn("t", F.col("t").cast(kind))
+    some = df.where("id > 0")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert ids(df, within_bounds(F.col("t"), some, "t")) == {1, 2}
+        assert ids(df, within_bounds(F.col("t"), some.where("id > 5"), "t")) == set()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_pending_with_both_ways(spark):
     df = spark.createDataFrame([(1, "R1,R2"), (2, "R1"), (3, None), (4, "R9")], "id INT, c STRING")
     assert ids(df, filters.pending_with(F.col("c"), "R1,R2,R3")) == {1, 2}

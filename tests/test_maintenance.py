@@ -37,3 +37,14 @@ def test_text_width(spark):
     with pytest.raises(Exception, match="longer than 1000"):
         maintenance.require_text_width(df, "remarks", 1000).collect()
     assert maintenance.require_text_width(df.where("id <> 2"), "remarks", 1000).count() == 2
+
+
+def test_base_and_audit_copies_hold_the_new_width(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS widths")
+    for name in ("base", "audit"):
+        spark.sql(f"DROP TABLE IF EXISTS widths.{name}")
+        fits = spark.createDataFrame([(1, "x" * 1000), (2, None)], "id INT, remarks STRING")
+        maintenance.copy_widened(fits, f"widths.{name}", "remarks", 1000)
+        assert spark.table(f"widths.{name}").count() == 2
+    with pytest.raises(Exception, match="1000"):
+        spark.createDataFrame([(3, "x" * 1001)], "id INT, remarks STRING").write.insertInto("widths.base")
