@@ -1,24 +1,23 @@
-"""Session set-up and materialisation of intermediate results."""
+"""Session set-up and intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+
 
 def build_session(app_name: str = "pactlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the jobs rely on. On a cluster leave `master` to spark-submit."""
+    """A session with the settings the jobs are tuned for. On a cluster leave `master` to spark-submit."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # One header, customer or currency may own a third of all rows: split it even
-        # when that costs one more exchange further up the plan.
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -27,29 +26,21 @@ def build_session(app_name: str = "pactlens", master: str | None = None, shuffle
     return builder.getOrCreate()
 
 
-@functools.cache
-def _test_folder() -> str:
-    return tempfile.mkdtemp(prefix="pactlens-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder.
-
-    Where none is named, a temporary folder serves a local master; a cluster must name one.
-    """
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder in the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _test_folder()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/pactlens-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/pactlens-{label}-{uuid.uuid4().hex}"
+    _OWN.append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` once and read it back.
 
     The copy lies in the shared folder, so it outlives a lost executor, is not recomputed by
@@ -57,5 +48,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession, since: int = 0) -> None:
+    """Delete the copies this process has made; results that still read them must have been written before."""
+    paths, _OWN[since:] = _OWN[since:], []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Copies made inside the block are deleted at its end: write the results inside it."""
+    before = len(_OWN)
+    try:
+        yield
+    finally:
+        cleanup(spark, before)
