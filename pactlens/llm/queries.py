@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import quality_rules, url_filter
+from pactlens.llm import quality_rules, simhash, url_filter
 from pactlens.llm.common import table
 
 URL_RULES = (
@@ -16,6 +16,10 @@ URL_RULES = (
 )
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -25,6 +29,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
