@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import quality_rules, simhash, topk, url_filter
+from pactlens.llm import bpe, packing, quality_rules, simhash, token_files, topk, url_filter
 from pactlens.llm.common import table
+from pactlens.session import scratch_path
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 URL_RULES = (
     url_filter.Rule.parse("block", "net/"),
@@ -24,6 +29,14 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -32,11 +45,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, WORD_TOKENIZER)
+    return token_files.read(spark, folder)
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_topk_search": op2_topk_search,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES = {

@@ -117,6 +117,11 @@ class Measure:
         return (plain * plain).sum(axis=1), distances(plain, self.pivots)
 
 
+def _below(score) -> float:
+    """A double that is not above an exact score."""
+    return float(score) if abs(score) < 2**53 else float(score) * (1 - 1e-9 if score > 0 else 1 + 1e-9)
+
+
 def _as_long(scores) -> np.ndarray:
     return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in scores], np.int64)
 
@@ -166,7 +171,7 @@ def _home(batches, measure: Measure, k: int, size: int) -> Iterator[pa.RecordBat
         for n, got, scores in _search(measure, k, rows, ids[asked], values[asked], floors, ids, values):
             answers.append((np.full(len(got), rows[n]), np.full(len(got), ids[asked[n]]), got, scores))
             if len(got) == k:
-                floors[n] = float(min(scores)) - 1e-9 * abs(float(min(scores)))
+                floors[n] = _below(min(scores))
         found = _found(*(np.concatenate([a[c] for a in answers]) for c in range(4)))
         home = pa.array([found.to_struct_array().to_pylist()], pa.list_(found.to_struct_array().type))
         binary = lambda x: pa.array([x], pa.binary())
@@ -181,18 +186,25 @@ def _home(batches, measure: Measure, k: int, size: int) -> Iterator[pa.RecordBat
 
 
 def _away(left: pa.Table, right: pa.Table, measure: Measure, k: int) -> pa.Table:
-    """One cell of the matrix: its blocks against its packs of queries."""
+    """One cell of the matrix: its packs of queries against its blocks, and the k best of the cell for each query."""
+    blocks = [(b["block"], np.frombuffer(b["ids"], np.int64), b["vecs"]) for b in left.to_pylist()]
     answers = [(np.zeros(0, np.int64),) * 3 + ([],)]
-    for block in left.to_pylist():
-        ids = np.frombuffer(block["ids"], np.int64)
-        values = measure.unpack(block["vecs"], len(ids))
-        for pack in right.to_pylist():
-            if pack["pack"] == block["block"]:
+    for pack in right.to_pylist():
+        rows, query_ids = np.frombuffer(pack["rows"], np.int64), np.frombuffer(pack["query_ids"], np.int64)
+        queries, floors = measure.unpack(pack["query_vecs"], len(rows)), np.frombuffer(pack["floors"]).copy()
+        best: dict[int, tuple] = {}
+        for block, ids, vecs in blocks:
+            if block == pack["pack"]:
                 continue  # answered at home
-            rows, query_ids = np.frombuffer(pack["rows"], np.int64), np.frombuffer(pack["query_ids"], np.int64)
-            queries = measure.unpack(pack["query_vecs"], len(rows))
-            for n, got, scores in _search(measure, k, rows, query_ids, queries, np.frombuffer(pack["floors"]), ids, values):
-                answers.append((np.full(len(got), rows[n]), np.full(len(got), query_ids[n]), got, scores))
+            for n, got, scores in _search(measure, k, rows, query_ids, queries, floors, ids, measure.unpack(vecs, len(ids))):
+                if n in best:
+                    got, scores = np.concatenate([best[n][0], got]), np.concatenate([best[n][1], scores])
+                    top = np.lexsort((got, -scores))[:k]
+                    got, scores = got[top], scores[top]
+                best[n] = got, scores
+                if len(got) == k:
+                    floors[n] = max(floors[n], _below(scores.min()))
+        answers += [(np.full(len(got), rows[n]), np.full(len(got), query_ids[n]), got, scores) for n, (got, scores) in best.items()]
     return pa.Table.from_batches([_found(*(np.concatenate([a[c] for a in answers]) for c in range(4)))])
 
 

@@ -14,9 +14,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-KNOWN = 400_000  # words a worker remembers
+KNOWN = 1_000_000  # words a worker remembers
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
-_BULK = 512
+_BULK, _PART = 512, 1 << 20
 
 
 class WordEncoder:
@@ -40,32 +40,26 @@ class WordEncoder:
         return _STOP.sub(rb" \1", text).split()
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """Each text's ids. Texts are taken as they come; their words are learned before they are joined."""
+        """Each text's ids; the new words of about a megabyte of text are learned together."""
+        held: list[list[bytes]] = []
+        size = 0
         for text in texts:
-            words = self.words(text)
-            known = self._known
-            try:
-                yield b"".join(map(known.__getitem__, words))
-                continue
-            except KeyError:
-                pass
-            if len(known) > KNOWN:
-                known.clear()
-            for n in range(0, len(words), 1 << 16):  # a very long text is joined in steps
-                self._learn(words[n : n + (1 << 16)])
-            yield b"".join(map(known.__getitem__, words))
+            held.append(self.words(text))
+            size += len(text)
+            if size >= _PART:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
 
-    def learn_from(self, texts: Iterable[bytes]) -> None:
-        """Learn the words of several texts at once."""
+    def _joined(self, lists: list[list[bytes]]) -> Iterator[bytes]:
         if len(self._known) > KNOWN:
             self._known.clear()
-        new: set[bytes] = set()
-        for text in texts:
-            new.update(self.words(text))
-        self._learn(new)
+        self._learn(set().union(*lists))
+        for words in lists:
+            yield b"".join(map(self._known.__getitem__, words))
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        new = list(set(words).difference(self._known))
+    def _learn(self, words: set[bytes]) -> None:
+        new = list(words.difference(self._known))
         encode, kind = self._tokenizer.encode_batch_fast, self.kind
         for n in range(0, len(new), _BULK):
             part = new[n : n + _BULK]
