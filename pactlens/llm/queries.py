@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, packing, quality_rules, simhash, token_files, topk, url_filter
+from pactlens.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -37,6 +37,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_topk_search": op2_topk_search,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
