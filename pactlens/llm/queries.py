@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files, topk, url_filter
+from pactlens.llm import bpe, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -41,6 +41,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
