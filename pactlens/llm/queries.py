@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
+from pactlens.llm import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -33,6 +33,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_suffix_dedup": op7_suffix_dedup,
