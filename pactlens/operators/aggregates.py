@@ -2,7 +2,7 @@
 
 All of them combine on the map side (sums, counts, max/min of a struct), so a parent with a third of all
 children costs one small partial row per task. Ordered lists are the exception: their result is one text
-per parent by definition, so their size is checked first.
+per parent by definition, and the task that writes it holds that parent's entries. No length is refused.
 """
 
 from __future__ import annotations
@@ -12,11 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Longest list text one row may hold. Beyond it the job fails, as a list aggregate of the
-# source database does far earlier, instead of running one task out of memory.
-LIST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
 def list_column(value: Column, order: Sequence[Column], separator: str) -> Column:
     """Non-NULL values joined by `separator` in the given order; NULL when there are none.
 
@@ -34,22 +29,11 @@ def ordered_lists(
     keys: Sequence[str],
     lists: dict[str, tuple[Column, Sequence[Column], str]],
     also: dict[str, Column] | None = None,
-    limit_bytes: int = LIST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Several ordered lists per key in one grouping: name -> (value, order, separator); `also` adds plain aggregates.
-
-    A first, map-side combined pass finds the longest list; when it is over the limit the job fails there,
-    before any list is gathered.
-    """
-    widths = [F.octet_length(value.cast("string")) + len(separator) for value, _, separator in lists.values()]
-    total = sum((F.coalesce(F.sum(width), F.lit(0)) for width in widths), F.lit(0))
-    longest = df.groupBy(*keys).agg(total.alias("list_bytes")).agg(F.max("list_bytes")).scalar()
-    message = F.concat(F.lit("a list is too long for one row, bytes: "), longest.cast("string"))
-    fits = F.when(longest > limit_bytes, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    gathered = df.where(fits)
+    """Several ordered lists per key in one grouping: name -> (value, order, separator); `also` adds plain aggregates."""
     columns = [list_column(*spec).alias(name) for name, spec in lists.items()]
     columns += [aggregate.alias(name) for name, aggregate in (also or {}).items()]
-    return gathered.groupBy(*keys).agg(*columns)
+    return df.groupBy(*keys).agg(*columns)
 
 
 def latest(value: Column, order: Column) -> Column:
@@ -63,14 +47,6 @@ def lowest(value: Column, *order: Column) -> Column:
     return F.min(F.struct(*keys, value.alias("v")))["v"]
 
 
-def group_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in columns])
-
-
-def distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).distinct()
-
-
 def with_flag(df: DataFrame, matches: DataFrame, key: str, name: str, present: str = "Y", absent: str = "N") -> DataFrame:
     """Flag per row whether its key occurs in `matches`."""
     keys = matches.select(F.col(key).alias("flag_key")).distinct()

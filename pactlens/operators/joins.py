@@ -1,7 +1,7 @@
 """Joins and lookups.
 
 No side is broadcast by hint: Spark broadcasts a lookup whose size it knows to be small, re-checks with
-run-time sizes, and splits hot keys in shuffled joins (see `session.build_session`).
+run-time sizes, and splits hot keys in shuffled joins.
 """
 
 from __future__ import annotations
@@ -33,15 +33,19 @@ def codes_of_type(codes: DataFrame, *types: str) -> DataFrame:
 
 
 def location_address(addresses: DataFrame, cities: DataFrame, countries: DataFrame) -> DataFrame:
-    """Per customer, the valid LOCATION address: city name (or raw city), country code and country name."""
-    chosen = (
-        addresses.where((F.col("valid") == "Y") & (F.col("address_type") == "LOCATION"))
-        .groupBy("customer_profile_id")
-        .agg(F.min(F.struct("city", "country_code")).alias("a"))
-        .select("customer_profile_id", F.col("a.city").alias("address_city"), F.col("a.country_code").alias("address_country"))
+    """Per customer, the valid LOCATION address: city name (or raw city) and country code of the lowest one.
+
+    The country name is the lowest among all of them, so an address in an unknown country does not hide a known one.
+    """
+    held = addresses.where((F.col("valid") == "Y") & (F.col("address_type") == "LOCATION"))
+    named = with_lookup(held, countries, {"country_code": "country_code"}, "country_name", "found_country")
+    chosen = named.groupBy("customer_profile_id").agg(
+        F.min(F.struct("city", "country_code")).alias("a"), F.min("found_country").alias("address_country_name")
+    )
+    chosen = chosen.select(
+        "customer_profile_id", F.col("a.city").alias("address_city"), F.col("a.country_code").alias("address_country"), "address_country_name"
     )
     named = with_lookup(chosen, cities, {"address_city": "city_code"}, "city_name", "known_city")
-    named = with_lookup(named, countries, {"address_country": "country_code"}, "country_name", "address_country_name")
     return named.select(
         "customer_profile_id",
         F.coalesce("known_city", "address_city").alias("address_city_name"),
@@ -213,9 +217,3 @@ def contact_people(contacts: DataFrame, communications: DataFrame) -> DataFrame:
         .agg(*[newest_mail(test).alias(f"{kind}email") for kind, test in kinds.items()])
     )
     return names.join(emails, names["customer_profile_id"] == emails["mail_customer"], "left").drop("mail_customer")
-
-
-def with_exists(df: DataFrame, matches: DataFrame, on: Column, name: str) -> DataFrame:
-    """Flag rows for which a match exists; `matches` has one row per key."""
-    marked = matches.withColumn("match_found", F.lit(1))
-    return df.join(marked, on, "left").withColumn(name, yes_no(F.col("match_found").isNotNull()))

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.session import materialize
 
 HOT_SHARE = 1000
-PAGE_BROADCAST_ROWS = 100_000
 
 
 def rank_of_values(df: DataFrame, column: str) -> DataFrame:
@@ -24,9 +24,12 @@ def rank_of_values(df: DataFrame, column: str) -> DataFrame:
     The counts are written once: the steps below read that small table, so `df` is evaluated a single time.
     """
     counts = materialize(df.groupBy(F.col(column).alias("rank_key")).agg(F.count(F.lit(1)).alias("rank_rows")), "date-counts")
-    counts = counts.withColumn("rank_day", F.to_date("rank_key")).withColumn(
-        "rank_second", F.date_format("rank_key", "HH:mm:ss")
-    )
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        # By instant: around a clock change the local time of day goes back.
+        second = F.expr("unix_micros(rank_key) div 1000000")
+        counts = counts.withColumn("rank_day", F.expr("unix_micros(rank_key) div 86400000000")).withColumn("rank_second", second)
+    else:
+        counts = counts.withColumn("rank_day", F.to_date("rank_key")).withColumn("rank_second", F.date_format("rank_key", "HH:mm:ss"))
     seconds = counts.groupBy("rank_day", "rank_second").agg(F.sum("rank_rows").alias("n"))
     days = seconds.groupBy("rank_day").agg(F.sum("n").alias("n"))
 
@@ -93,6 +96,4 @@ def page_of(rank: Column, number: int, size: int) -> Column:
 def page_by_rank(df: DataFrame, column: str, number: int, size: int, name: str = "rnk") -> DataFrame:
     """Rows of one page. Its dates number at most `size`, since each holds a row."""
     dates = rank_of_values(df, column).where(page_of(F.col("rnk"), number, size)).select("rank_key", F.col("rnk").alias(name))
-    if size <= PAGE_BROADCAST_ROWS:
-        dates = F.broadcast(dates)
     return df.join(dates, F.col(column).eqNullSafe(F.col("rank_key"))).drop("rank_key")

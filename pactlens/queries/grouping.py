@@ -113,11 +113,14 @@ def agg_exists_flag(t):
     return aggregates.with_flag(headers, overall.select("inc_hdr_id"), "inc_hdr_id", "has_overall")
 
 
-UNCAPPED_SQL = """EXISTS (SELECT 1 FROM inc_models m JOIN inc_types y ON y.inc_model_id = m.inc_model_id
-        JOIN inc_payout_types p ON p.inc_type_id = y.inc_type_id JOIN inc_rule_comp_hdr r ON r.payout_type_id = p.payout_type_id
-        JOIN inc_rule_comp_period d ON d.rule_comp_hdr_id = r.rule_comp_hdr_id
-        JOIN inc_rule_comp_value v ON v.rule_comp_period_id = d.rule_comp_period_id
-        WHERE m.agreement_group_id = g.agreement_group_id AND y.incentive_type = 'BASIC' AND v.measure_to IS NULL)"""
+# Groups with a slab that has no upper end below a BASIC type: keys carried from the slab up to its group.
+UNCAPPED_SQL = """g.agreement_group_id IN (
+        WITH endless AS (SELECT DISTINCT rule_comp_period_id FROM inc_rule_comp_value WHERE measure_to IS NULL),
+        rules AS (SELECT DISTINCT payout_type_id FROM inc_rule_comp_hdr
+            WHERE rule_comp_hdr_id IN (SELECT rule_comp_hdr_id FROM inc_rule_comp_period SEMI JOIN endless USING (rule_comp_period_id))),
+        kinds AS (SELECT inc_type_id FROM inc_payout_types SEMI JOIN rules USING (payout_type_id)),
+        basic AS (SELECT inc_model_id FROM inc_types SEMI JOIN kinds USING (inc_type_id) WHERE incentive_type = 'BASIC')
+        SELECT agreement_group_id FROM inc_models SEMI JOIN basic USING (inc_model_id) WHERE agreement_group_id IS NOT NULL)"""
 
 
 @query(

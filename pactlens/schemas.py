@@ -58,8 +58,6 @@ DEFAULT_CHANNEL = "FIT/Retail"
 EXCEPTION_CODE_TYPES = ("INC_GLD_RL", "INC_EXP")
 FREQUENCY_CODE_TYPE = "INCPAYFREQ"
 CHANNEL_CODE_TYPE = "CHNL_TYPE"
-PROGRAM_CONTACT_TYPES = ("SMEADMIN",)
-PORTAL_CONTACT_TYPES = ("PAADMIN", "PA")
 
 # Header columns the search passes through.
 HEADER_COLUMNS = (

@@ -17,12 +17,10 @@ def test_ordered_list_skips_null_and_keeps_order(spark):
     assert {row.k: (row.list, row.n) for row in rows} == {1: ("a~b~c", 4), 2: (None, 1)}
 
 
-def test_too_long_list_fails_before_gathering(spark):
-    df = spark.range(100).select(F.lit(1).alias("k"), F.lit("x" * 50).alias("v"), "id")
-    with pytest.raises(Exception, match="too long for one row"):
-        ordered_lists(df, ["k"], {"list": (F.col("v"), [F.col("id")], ",")}, limit_bytes=1000).collect()
-    fits = ordered_lists(df, ["k"], {"list": (F.col("v"), [F.col("id")], ",")}, limit_bytes=5100).first()
-    assert len(fits.list) == 5099
+def test_long_list_comes_whole(spark):
+    df = spark.range(70).select(F.lit(1).alias("k"), "id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1_000_000)).alias("v"))
+    row = ordered_lists(df, ["k"], {"list": (F.col("v"), [F.col("id")], ",")}).select(F.length("list").alias("n"), F.substring("list", -1_000_003, 3).alias("last")).first()
+    assert row.n == 70 * 1_000_000 + 10 + 60 * 2 + 69 and row.last == ",69"
 
 
 def test_top_and_bottom(spark):

@@ -40,9 +40,7 @@ def test_rank_equals_brute_force(spark, monkeypatch, seed, hot_share):
     assert {row.id: row.rnk for row in rows} == expected(dates)
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_pages_partition_the_ranked_rows(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(ranking, "PAGE_BROADCAST_ROWS", broadcast_rows)
+def test_pages_partition_the_ranked_rows(spark):
     dates = made_up(4, 40)
     df, ranks, size = frame(spark, dates), expected(dates), 7
     seen = {}
@@ -66,3 +64,19 @@ def test_tie_over_the_page_edge_stays_whole(spark):
 def test_only_day_totals_pass_an_unpartitioned_window(spark):
     df = ranking.rank_of_values(spark.range(10).select(F.lit(dt.datetime(2020, 1, 1)).alias("created")), "created")
     assert df.first().rnk == 1
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_rank_around_a_clock_change(spark, kind):
+    """01:30 and 01:45 summer time, then 01:30 winter time: later instants come first."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        seconds = spark.createDataFrame([(1, 1636263000), (2, 1636263900), (3, 1636266600), (4, -5)], "id int, s long")
+        created = F.timestamp_seconds("s")
+        if kind == "timestamp_ntz":
+            created = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)")
+        rows = ranking.with_rank(seconds.select("id", created.alias("created")), "created").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {row.id: row.rnk for row in rows} == {3: 1, 2: 2, 1: 3, 4: 4}

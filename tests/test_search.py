@@ -94,7 +94,7 @@ def test_result_from_parquet_tables_and_pushdown(spark, tables, folder, tmp_path
     needed = set(TABLES) - {"amendment_request", "amendment_request_aud", "gen_error_code", "lead_header"}
     for name in needed & set(standin_sql(SPARK)):
         getattr(tables, name).write.parquet(f"{tmp_path}/{name}")
-    stored = AgreementTables.from_parquet(spark, str(tmp_path))
+    stored = AgreementTables.from_parquet(spark, str(tmp_path), clean=True)
     request = SearchRequest(**{**BASE, "product_code": "PLB", "page_size": 40})
     got = search_agreements(stored, request)
     want = search_agreements(tables, request)
