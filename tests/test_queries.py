@@ -4,13 +4,14 @@ import pytest
 
 import __spark_entry__ as registered
 from compare import compare
+from pactlens.queries import ORACLES, QUERIES
 
 
 # Row-wise Python and all-pairs joins have no place in any plan.
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_agrees_with_sql(spark, duck, folder, name):
     df = registered.queries()[name](spark, folder)
     difference, _ = compare(duck, name, df)
@@ -20,7 +21,8 @@ def test_agrees_with_sql(spark, duck, folder, name):
 
 
 def test_each_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
 def test_entry(spark):

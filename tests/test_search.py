@@ -6,7 +6,7 @@ import pytest
 
 from compare import normal
 from pactlens.plans.search import SearchRequest, header_candidates, page_rows, search_agreements
-from pactlens.queries.measuring import AS_OF_DATE, NOT_SOTO_SQL, PERIOD_SQL, search_sql
+from pactlens.queries.measuring import AS_OF_DATE, NOT_SOTO_SQL, period_sql, search_sql
 from pactlens.queries.registry import portable, with_standins
 from pactlens.schemas import SEARCH_COLUMNS, TABLES
 from pactlens.sources.standins import SPARK, standin_sql, standin_tables
@@ -22,7 +22,7 @@ BASE = {
     "currency_code": "C0",
     "as_of": AS_OF_DATE,
 }
-BASE_SQL = f"""h.customer_type = 'CORP' AND {NOT_SOTO_SQL} AND {PERIOD_SQL.format('1995-01-01', '9999-12-31')}
+BASE_SQL = f"""h.customer_type = 'CORP' AND {NOT_SOTO_SQL} AND {period_sql('1995-01-01', '9999-12-31')}
     AND CAST(h.created_date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '2099-12-31'"""
 
 APPROVED_SQL = """EXISTS (SELECT 1 FROM wf_approval_history w JOIN inc_agreement_group x ON w.wf_request_id = x.workflow_id
