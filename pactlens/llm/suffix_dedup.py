@@ -17,7 +17,7 @@ of one anchor form a run, a short string. Only anchors that occur in two documen
    more strings than a task should hold: its windows are sent one by one to buckets of their own hash instead.
 4. A bucket merges the transforms of the strings that share an anchor and answers each batch with the smallest id of each window.
    A string that is alone with its anchor has the same places for all of its windows and needs no merge.
-5. Each batch marks the bytes to remove.
+5. Each batch finds the places of its strings again, rather than keep them on disk meanwhile, and marks the bytes to remove.
 
 All exchanges are keyed by bucket or batch, both of bounded size, so no hot document, passage or source gathers in one task.
 
@@ -248,9 +248,10 @@ def _member(keys: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == keys
 
 
-def _strings_of(packed: bytes, answers: list, buckets: int, length: int, anchor: int) -> tuple[bytes, list[dict]]:
-    """The places of a batch's distinct strings, and the strings packed by bucket."""
-    batch = Batch(packed)
+def _places(batch: Batch, answers: list, length: int, anchor: int):
+    """A batch's distinct (key, string) by number with the smallest id of each, and the number and position of each place.
+
+    The numbers follow from the batch and the set of its shared anchors, so a second run gives the same."""
     start, count, key, doc = runs(batch, length, anchor)
     usual, hot = (np.sort(np.concatenate([_from_six(a[name]) for a in answers])) for name in ("usual", "hot"))
     text, ids = batch.text, batch.ids
@@ -276,20 +277,21 @@ def _strings_of(packed: bytes, answers: list, buckets: int, length: int, anchor:
             string = text[at : at + length]
             place(xxhash.xxh64_intdigest(string) >> (64 - _KEY_BITS), string, at, i)
 
+    return number, np.array(least, np.int64), np.array(names, np.int64), np.array(positions, np.int64)
+
+
+def _strings_of(packed: bytes, answers: list, buckets: int, length: int, anchor: int) -> list[tuple[int, bytes]]:
+    """A batch's distinct strings, packed by bucket."""
+    number, least, _, _ = _places(Batch(packed), answers, length, anchor)
     by_bucket: dict[int, list[tuple[int, bytes, int]]] = {}
     for (k, string), n in number.items():
         by_bucket.setdefault(k % buckets, []).append((k, string, n))
     rows = []
     for bucket, held in by_bucket.items():
         keys, strings, numbers = zip(*held)
-        numbers = np.array(numbers, np.int64)
-        rows.append(
-            {
-                "bucket": bucket,
-                "strings": _zip(np.array(keys, "<u8"), np.array([len(x) for x in strings], "<i4"), numbers.astype("<i4"), np.array(least, np.int64)[numbers], b"".join(strings)),
-            }
-        )
-    return _zip(np.array(names, "<i4"), np.array(positions, "<i8")), rows
+        sizes = np.array([len(x) for x in strings], "<i4")
+        rows.append((bucket, _zip(np.array(keys, "<u8"), sizes, np.array(numbers, "<i4"), least[list(numbers)], b"".join(strings))))
+    return rows
 
 
 # --- Burrows-Wheeler transforms ------------------------------------------------------------------------------------
@@ -431,12 +433,11 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
 # --- removal -----------------------------------------------------------------------------------------------------
 
 
-def _removed(batch: Batch, places: bytes | None, answers: list[bytes], length: int) -> np.ndarray:
+def _removed(batch: Batch, name: np.ndarray, position: np.ndarray, answers: list[bytes], length: int) -> np.ndarray:
     """Which bytes of the batch go."""
     n = len(batch.values)
     change = np.zeros(n + 1, np.int64)
-    if places is not None and answers:
-        name, position = _unzip(places, "<i4", "<i8")
+    if answers:
         owner, count, least = (np.concatenate(parts) for parts in zip(*[_unzip(raw, "<i4", "<i4", "<i8") for raw in answers]))
         order = np.argsort(owner, kind="stable")
         owner, count, least = owner[order], count[order].astype(np.int64), least[order]
@@ -452,11 +453,12 @@ def _removed(batch: Batch, places: bytes | None, answers: list[bytes], length: i
     return np.cumsum(change)[:n] > 0
 
 
-def _finish(rows: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _finish(rows: Iterator[pa.RecordBatch], length: int, anchor: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for part in rows:
-        for packed, places, answers in zip(*(part.column(name).to_pylist() for name in ("packed", "places", "answers"))):
+        for packed, shared, answers in zip(*(part.column(name).to_pylist() for name in ("packed", "shared", "answers"))):
             batch = Batch(packed)
-            removed = _removed(batch, places, answers or [], length)
+            _, _, name, position = _places(batch, shared, length, anchor) if answers else (None,) * 4
+            removed = _removed(batch, name, position, answers or [], length)
             gone, spans, digests, kept_texts = [], [], [], []
             for start, end in zip(batch.starts.tolist(), batch.ends.tolist()):
                 mask = removed[start:end]
@@ -487,25 +489,19 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
 
     def strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            for number, raw, answers in zip(*(part.column(name).to_pylist() for name in ("batch", "packed", "answers"))):
-                places, sent = _strings_of(raw, answers, buckets, length, anchor)
-                yield pa.RecordBatch.from_arrays(
-                    [longs([number]), _binaries([places]), pa.array([sent], pa.list_(pa.struct([("bucket", pa.int64()), ("strings", pa.binary())])))],
-                    ["batch", "places", "sent"],
-                )
+            for number, raw, answers in zip(*(part.column(name).to_pylist() for name in ("batch", "packed", "shared"))):
+                sent = _strings_of(raw, answers, buckets, length, anchor)
+                yield pa.RecordBatch.from_arrays([longs([number] * len(sent)), longs([k for k, _ in sent]), _binaries([x for _, x in sent])], ["batch", "bucket", "strings"])
 
     anchors = packed.select("batch", "packed").mapInArrow(
         lambda rows: _send_anchors(rows, buckets, length, anchor), "bucket long, batch long, several binary, one binary"
     )
     answered = anchors.groupBy("bucket").applyInArrow(shared, "batch long, usual binary, hot binary")
-    asked = answered.groupBy("batch").agg(F.collect_list(F.struct("usual", "hot")).alias("answers"))  # of one batch
-    found = materialize(
-        packed.join(asked, "batch").select("batch", "packed", "answers").mapInArrow(strings, "batch long, places binary, sent array<struct<bucket: long, strings: binary>>"),
-        "dedup-strings",
-    )
-    sent = found.select("batch", F.explode("sent").alias("s")).select("batch", "s.bucket", "s.strings")
+    asked = answered.groupBy("batch").agg(F.collect_list(F.struct("usual", "hot")).alias("shared"))  # of one batch
+    asked = materialize(asked, "dedup-shared")
+    sent = packed.join(asked, "batch").select("batch", "packed", "shared").mapInArrow(strings, "batch long, bucket long, strings binary")
     replies = sent.groupBy("bucket").applyInArrow(resolve, "batch long, answer binary")
     marks = replies.groupBy("batch").agg(F.collect_list("answer").alias("answers"))
-    joined = packed.join(found.select("batch", "places"), "batch", "left").join(marks, "batch", "left").select("packed", "places", "answers")
+    joined = packed.join(asked, "batch", "left").join(marks, "batch", "left").select("packed", "shared", "answers")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(lambda rows: _finish(rows, length, with_text), schema)
+    return joined.mapInArrow(lambda rows: _finish(rows, length, anchor, with_text), schema)
