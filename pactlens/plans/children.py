@@ -201,15 +201,18 @@ def payout_frequencies(models: DataFrame, types: DataFrame, payouts: DataFrame,
 def miles_summary(deals: DataFrame, miles: DataFrame) -> DataFrame:
     """Balances per header, deal, membership and expiry date.
 
-    Balances are summed per deal, membership and date before they fan out to the headers.
+    Only balances of the given deals are grouped. They are summed per deal, membership and date before they fan out to
+    the headers.
     """
+    held = deals.select("inc_hdr_id", "deal_code", "membership_number")
+    wanted = held.select(F.col("deal_code").alias("track_code"), F.col("membership_number").alias("membership_no")).distinct()
     amounts = ["miles_earned", "miles_redeemed", "miles_balance", "miles_expiry"]
     balances = (
         miles.where(F.col("track_code").isNotNull() & F.col("membership_no").isNotNull())
+        .join(wanted, ["track_code", "membership_no"], "left_semi")
         .groupBy("track_code", "membership_no", "miles_expiry_date")
         .agg(*[F.sum(name).alias(name) for name in amounts])
     )
-    held = deals.select("inc_hdr_id", "deal_code", "membership_number")
     joined = held.join(
         balances, (held["deal_code"] == balances["track_code"]) & (held["membership_number"] == balances["membership_no"])
     )
