@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactlens.operators import maintenance
-from pactlens.queries.registry import big, query
+from pactlens.queries.registry import big, query, stamp
 
-ERROR_COLUMNS = "module_code, error_code, error_warning_ind, error_description, created_by, subscriber_code"
+COPIED = f"created_by, {stamp('created_date')}, last_modified_by, {stamp('last_modified_date')}, subscriber_code"
+ERROR_COLUMNS = f"module_code, error_code, error_warning_ind, error_description, {COPIED}"
 
 
 @query(
     "insert_select_clone",
     f"""SELECT {ERROR_COLUMNS} FROM gen_error_code UNION ALL
-    SELECT module_code, 'NEW_CODE', error_warning_ind, 'New description.', created_by, subscriber_code
+    SELECT module_code, 'NEW_CODE', error_warning_ind, 'New description.', {COPIED}
     FROM gen_error_code WHERE error_code = 'E42'""",
 )
 def insert_select_clone(t):

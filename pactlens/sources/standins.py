@@ -344,9 +344,13 @@ def standin_sql(d: Dialect) -> dict[str, tuple[str, str]]:
         ),
         "gen_error_code": (
             "part",
-            """SELECT p_brand AS module_code, 'E' || p_partkey AS error_code,
+            f"""SELECT p_brand AS module_code, 'E' || p_partkey AS error_code,
                 CASE WHEN p_size > 25 THEN 'W' ELSE 'E' END AS error_warning_ind,
-                p_name AS error_description, 'U' || (p_partkey % 20) AS created_by, p_type AS subscriber_code
+                p_name AS error_description, 'U' || (p_partkey % 20) AS created_by,
+                {d.add_days("TIMESTAMP '1995-01-01 08:30:00'", 'p_partkey % 900')} AS created_date,
+                CASE WHEN p_partkey % 3 > 0 THEN 'U' || (p_partkey % 7) END AS last_modified_by,
+                CASE WHEN p_partkey % 3 > 0 THEN {d.add_days("TIMESTAMP '1998-01-01 00:00:00'", 'p_partkey % 400')} END AS last_modified_date,
+                p_type AS subscriber_code
             FROM part""",
         ),
         "amendment_request": ("documents", "SELECT doc_id AS request_id, text AS remarks FROM documents"),
