@@ -55,13 +55,13 @@ _KEY_BITS = 48
 # --- texts in batches --------------------------------------------------------------------------------------------
 
 
-def _zip(*arrays: np.ndarray | bytes) -> bytes:
+def _zip(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays end to end, each behind its length, compressed."""
     parts = []
     for array in arrays:
         raw = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
         parts += [len(raw).to_bytes(8, "little"), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def _unzip(raw: bytes, *kinds: str | None) -> list:
@@ -89,7 +89,7 @@ def batches_of(documents: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
         def row() -> pa.RecordBatch:
             nulls = np.array([i is None for i in ids], np.uint8)
             known = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            packed = _zip(known, nulls, np.array([len(t) for t in held], np.int64), b"".join(held))
+            packed = _zip(known, nulls, np.array([len(t) for t in held], np.int64), b"".join(held), level=3)
             return pa.RecordBatch.from_arrays([longs([number]), longs([size]), pa.array([packed], pa.binary())], ["batch", "n_bytes", "packed"])
 
         for batch in batches:
