@@ -6,8 +6,10 @@ number of open sequences with g tokens left; a new sequence competes on the same
 gap. Pieces come longest first.
 
 Pieces are dealt at random over shards of a bounded number of pieces, each packed by one task. What lies in sequences that
-did not become full is pooled over all shards and packed again in fewer shards, until one shard is left, so that
-the loss does not grow with their number. Work and memory of a task stay bounded; only lengths are shuffled, no text.
+did not become full is pooled over all shards and packed again in fewer shards of the same size, so that the loss does not
+grow with their number. A round that fills under an eighth of its pieces is the last one, as lengths that do not combine in one shard do
+not combine in another; the sequences of its shards are final. Work and memory of a task stay bounded; only lengths are
+shuffled, no text.
 
 Defined results: a null text is an empty document, which is its end id alone. Repeated rows, or rows without a doc_id, are
 documents of their own. An empty table gives no sequences.
@@ -29,6 +31,7 @@ from pactlens.session import materialize
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SHARD_PIECES = 16_384
+_SHARD_BITS, _PLACE_BITS = 29, 24  # of a sequence id; ten bits are left for the round
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
@@ -81,13 +84,20 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return place, offset, np.array(gaps, np.int64)
 
 
+def sequence_ids(round_number: int, shard: int, place: np.ndarray) -> np.ndarray:
+    """Round, shard and place in fields of one long each number fits."""
+    if round_number >> 63 - _SHARD_BITS - _PLACE_BITS or shard >> _SHARD_BITS or (len(place) and int(place.max()) >> _PLACE_BITS):
+        raise ValueError(f"round {round_number}, shard {shard} or a place in it is beyond the fields of a sequence id")
+    return (((round_number << _SHARD_BITS) + shard) << _PLACE_BITS) + place.astype(np.int64)
+
+
 def _pack_shard(shard: pa.Table, capacity: int, round_number: int) -> pa.Table:
     length = shard["length"].to_numpy()
     order = np.lexsort((shard["row"].to_numpy(), -length))
     shard = shard.take(pa.array(order))
     place, offset, gaps = sum_of_squares(length[order], capacity)
     number = int(shard["shard"][0].as_py())
-    sequence = ((round_number << 40) + number << 20) + place
+    sequence = sequence_ids(round_number, number, place)
     return (
         shard.drop_columns(["shard", "sequence_id", "offset", "gap"])
         .append_column("sequence_id", longs(sequence))
@@ -112,19 +122,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIEC
     rest = held.where(F.col("length") < capacity).withColumns({name: F.lit(0).cast("long") for name in ("sequence_id", "offset", "gap")})
     kept = [*names, "row", "sequence_id", "offset", "gap"]
     schema = rest.select(kept).schema
-    round_number = 0
+    round_number, count = 0, rest.count()
     while True:
-        shards = max(1, -(-rest.count() // shard_pieces))
-        dealt = rest.select(*kept, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
-
+        shards = max(1, -(-count // shard_pieces))
+        # The round takes part in the deal: the same pieces would meet again otherwise.
+        dealt = rest.select(*kept, F.pmod(F.xxhash64("row", F.lit(round_number)), F.lit(shards)).alias("shard"))
         packed = materialize(dealt.groupBy("shard").applyInArrow(_shard_packer(capacity, round_number), schema), "packed")
-        if shards == 1:
+        rest = packed.where(F.col("gap") > 0)
+        before, count = count, rest.count()
+        if shards == 1 or count > before - before / 8:
             done.append(packed.select(*names, "sequence_id", "offset"))
             break
         done.append(packed.where(F.col("gap") == 0).select(*names, "sequence_id", "offset"))
-        rest = packed.where(F.col("gap") > 0)
-        # A round that fills next to nothing would come back for ever: deal the rest into larger shards each time.
-        shard_pieces, round_number = shard_pieces * 2, round_number + 1
+        round_number += 1
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
