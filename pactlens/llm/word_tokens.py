@@ -1,6 +1,8 @@
 """Token ids of whole texts for tokenizers that drop white space, word by word with a bounded memory of words.
 
 Such a tokenizer never joins characters across white space, so a text's ids are those of its words, one after another.
+Letters A-Z are lowered first, which lets more words repeat. The tokenizer composes (NFC) before it lowers, and some marks
+compose with a small letter but not with its capital; where a text holds such marks, only pure ASCII words are lowered here.
 A full stop or comma between an a-z letter and white space is a token of its own and is cut off first, which lets more
 words repeat. Words not yet known are encoded by the tokenizer itself, in bulk.
 """
@@ -35,9 +37,11 @@ class WordEncoder:
         self._known: dict[bytes, bytes] = {}
 
     def words(self, text: bytes) -> list[bytes]:
-        if b"<|" not in text:  # a special token's own case counts
-            text = text.lower()  # A-Z only; the tokenizer lowers the rest
-        return _STOP.sub(rb" \1", text).split()
+        if b"<|" in text:  # a special token's own case counts
+            return _STOP.sub(rb" \1", text).split()
+        if b"\xcc" in text or b"\xcd" in text:  # first bytes of U+0300 to U+036F, all marks that compose with A-Z or a-z
+            return [word.lower() if word.isascii() else word for word in _STOP.sub(rb" \1", text).split()]
+        return _STOP.sub(rb" \1", text.lower()).split()  # A-Z only; the tokenizer lowers the rest
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Each text's ids; the new words of about a megabyte of text are learned together."""

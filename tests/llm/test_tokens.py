@@ -96,3 +96,10 @@ def test_token_files_of_nothing_and_wrong_dictionary(spark, make_documents, tmp_
     manifest = token_files.write(make_documents([(1, "one text")]), folder, PATH)
     with pytest.raises(ValueError, match="dictionary"):
         token_files.ShardReader(f"{folder}/shards", manifest.first().file, b"other")
+
+
+def test_marks_that_compose_with_small_letters_only(library):
+    texts = [f"{letter}{mark}a" for letter, mark in zip("HJTWY", "̱̌̈̊̊")]
+    texts += [f"{letter}{chr(mark)} The End." for letter in "AHIJKSTWYZ" for mark in range(0x300, 0x370)]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in WordEncoder(PATH).encode_all(t.encode() for t in texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
