@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
+from pactlens.llm import bpe, fill_in_middle, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -63,6 +63,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_topk_search": op2_topk_search,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
@@ -107,5 +112,32 @@ fits AS (
 )
 SELECT p.page_id, p.host, p.path, f.best.r AS rule, coalesce(f.best.v, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id)
+""",
+    "op12_fill_in_middle": r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+    FROM documents
+),
+numbered AS (
+    SELECT doc_id, text, units, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM drawn
+),
+parts AS (
+    SELECT doc_id, text, n, list_aggregate(units[1:least(h1 % (n + 1), h2 % (n + 1))], 'string_agg', '') AS p,
+           list_aggregate(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], 'string_agg', '') AS m,
+           list_aggregate(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], 'string_agg', '') AS s,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbered
+),
+whole AS (SELECT doc_id, text, n, form, coalesce(p, '') AS p, coalesce(m, '') AS m, coalesce(s, '') AS s FROM parts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                        ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM whole
 """,
 }
