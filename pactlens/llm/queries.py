@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, fill_in_middle, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
+from pactlens.llm import bpe, conversation_repair, fill_in_middle, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -63,6 +63,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
