@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, conversation_repair, fill_in_middle, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
+from pactlens.llm import bpe, conversation_repair, fill_in_middle, jaccard_join, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -71,6 +71,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_topk_search": op2_topk_search,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES = {
@@ -144,5 +149,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
                         ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM whole
+""",
+    "op13_jaccard_join": r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles
+    FROM cut
+),
+held AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS both
+    FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY 1, 2
+),
+linked AS (SELECT x, y FROM common WHERE 100 * both >= 85 * (nx + ny - both)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION
+    SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """,
 }
