@@ -162,11 +162,11 @@ sets AS (
 ),
 held AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
 common AS (
-    SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS both
+    SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared
     FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
     GROUP BY 1, 2
 ),
-linked AS (SELECT x, y FROM common WHERE 100 * both >= 85 * (nx + ny - both)),
+linked AS (SELECT x, y FROM common WHERE 100 * shared >= 85 * (nx + ny - shared)),
 edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
 reach(doc_id, other) AS (
     SELECT doc_id, doc_id FROM sets
