@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.operators.aggregates import latest, lowest, ordered_lists
+from pactlens.operators.aggregates import chunked_lists, latest, lowest, ordered_lists
 from pactlens.operators.exchange import with_rate
 from pactlens.operators.joins import contact_people, headline_groups, left_join_spread, names_of_code_lists
 
@@ -23,6 +23,43 @@ def test_long_list_comes_whole(spark):
     assert row.n == 70 * 1_000_000 + 10 + 60 * 2 + 69 and row.last == ",69"
 
 
+def hot_parent(spark, rows=40_000):
+    """A third of all entries belong to one parent; NULL parents, values and order keys occur."""
+    rng = random.Random(11)
+    data = []
+    for n in range(rows):
+        parent = 7 if n % 3 == 0 else rng.choice([None, *range(200)])
+        data.append((parent, rng.choice(["x", "y", None]), rng.choice([None, rng.randint(0, 50)]), n, rng.choice([None, f"v{n}", "same"])))
+    return spark.createDataFrame(data, "k INT, k2 STRING, o INT, id INT, v STRING").repartition(6)
+
+
+def test_lists_in_chunks_are_the_same(spark):
+    df = hot_parent(spark, 6000)
+    order = [F.col("o"), F.col("id")]
+    lists = {"a": (F.col("v"), order, "~"), "b": (F.upper("v"), order, ","), "c": (F.col("id"), [F.col("id")], ";")}
+    also = {"n": F.count(F.lit(1))}
+    key = lambda row: str(tuple(row))
+    whole = sorted(ordered_lists(df, ["k", "k2"], lists, also).collect(), key=key)
+    assert sorted(chunked_lists(df, ["k", "k2"], lists, also).collect(), key=key) == whole
+    assert sorted(ordered_lists(df, ["k", "k2"], lists, also, most=100).collect(), key=key) == whole
+    single = {"a": (F.col("v"), [F.col("o")], "~")}
+    assert sorted(chunked_lists(df, ["k"], single).collect(), key=key) == sorted(ordered_lists(df, ["k"], single).collect(), key=key)
+    assert ordered_lists(df.where("false"), ["k"], single).count() == 0
+
+
+def test_entries_of_a_hot_parent_are_in_several_tasks(spark):
+    df = hot_parent(spark)
+    plan = chunked_lists(df, ["k"], {"a": (F.col("v"), [F.col("o"), F.col("id")], "~")})._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "SPARK_PARTITION_ID" in plan.upper()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = df.repartitionByRange("k", F.col("o").asc_nulls_last(), F.col("id").asc_nulls_last())
+        held = [r.n for r in ranged.where("k = 7").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(held) > 1 and max(held) < 0.9 * sum(held)
+
+
 def test_top_and_bottom(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, None, 9), (1, "z", None), (2, "q", None)], "k INT, v STRING, o INT")
     rows = df.groupBy("k").agg(latest(F.col("v"), F.col("o")).alias("top"), lowest(F.col("v"), F.col("v")).alias("low")).collect()
