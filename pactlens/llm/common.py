@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlens.session import scratch_path
+
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return. `bytes.split` cuts at the same.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -46,3 +49,25 @@ def signed(values: np.ndarray) -> np.ndarray:
 def ids_and_text(documents: DataFrame) -> DataFrame:
     """The two columns an operator on texts reads, whatever else the table holds."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def whole_rows(documents: DataFrame) -> DataFrame:
+    """One column, `row`: each row as a struct, safe from names that an operator uses beside it."""
+    return documents.select(F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("row"))
+
+
+def materialize_in_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """`df` written once in the shared folder, in buckets of `key`: joins and aggregations by `key` read it without an exchange.
+
+    Spark keeps a bucketed side in place when it has at least spark.sql.shuffle.partitions buckets. The catalog's entry only
+    serves to read the files as buckets and goes at once; the files go with the other scratch copies.
+    """
+    spark = df.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"pactlens_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, label)).saveAsTable(name)
+    held = spark.table(name)
+    held.schema  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return held

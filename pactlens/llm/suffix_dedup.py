@@ -1,16 +1,17 @@
 """Repeated passages: removes each byte of a string of `length` bytes that also starts in a document with a smaller id.
 
 Repeats are found by suffixes: collections of strings are cut into shards, each shard's Burrows-Wheeler transform is built, and
-the transforms are merged by refining their interleave. Pass h stably deals the interleaved rows by the symbol before
+the transforms are merged by refining their interleave. Pass h stably deals interleaved rows by the symbol before
 them, which orders all suffixes by their first h symbols without sorting them again, and marks where neighbours part, which
-is their common prefix. After `length` passes the rows between two marks are one repeated interval: the
+is their common prefix; rows of intervals that have not parted in the pass before stay as they are. After `length` passes the rows between two marks are one repeated interval: the
 places of one string of that length. The smallest document id of an interval decides for all of its places.
 
 So that no task holds more than a part, equal strings must first come together. Each window of `length` bytes is named by its
 anchor, the substring of `anchor` bytes with the smallest hash in it; equal windows have equal anchors. Neighbouring windows
 of one anchor form a run, a short string. Only anchors that occur in two documents can matter:
 
-1. Texts are packed in batches of a few megabytes, compressed and written once. A batch never splits a document.
+1. Texts are packed in batches of a few megabytes, compressed, exchanged once and written in buckets by batch number, so that no
+   later step exchanges them again. A batch never splits a document.
 2. Each batch sends its distinct anchors, packed by bucket; a bucket answers each batch with the anchors that are shared.
 3. Each batch sends its distinct strings of shared anchors, packed by bucket, with the smallest id that holds each. An anchor
    of a hot passage costs a batch one row, however many documents hold it. An anchor in very many batches may have
@@ -23,7 +24,8 @@ All exchanges are keyed by bucket or batch, both of bounded size, so no hot docu
 
 Defined results: a null text is empty. Texts are bytes of UTF-8; where a removal splits a character, `kept_text` drops its
 remaining bytes. A row without a doc_id counts as larger than all others and equal ids do not remove each other, so
-repeated rows of one id all stay. An empty table gives an empty result.
+repeated rows of one id all stay. A very long text is a batch of its own, held by one task with arrays of about thirty times
+its size. An empty table gives an empty result. Other columns, whatever their names, are ignored, or carried along in `row`.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pactlens.llm.common import ids_and_text, longs, texts
+from pactlens.llm.common import ids_and_text, longs, materialize_in_buckets, texts
 from pactlens.session import materialize
 
 LENGTH, ANCHOR = 50, 20
@@ -77,33 +80,58 @@ def _unzip(raw: bytes, *kinds: str | None) -> list:
 NO_ID = 2**63 - 1
 
 
-def batches_of(documents: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
-    """batch, n_bytes and packed: ids, which of them are null, lengths and texts of a few documents."""
+def batches_of(documents: DataFrame, batch_bytes: int = BATCH, with_rows: bool = False) -> DataFrame:
+    """batch, n_bytes and packed: ids, which ids and texts are null, lengths and texts of a few documents.
+
+    `with_rows` adds `rows`, all columns but the text, as an Arrow stream.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, held, size = [], [], 0
+        ids, held, missing, parts, size = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            nulls = np.array([i is None for i in ids], np.uint8)
+            nulls = np.array([(i is None) + 2 * none for i, none in zip(ids, missing)], np.uint8)
             known = np.array([NO_ID if i is None else i for i in ids], np.int64)
             packed = _zip(known, nulls, np.array([len(t) for t in held], np.int64), b"".join(held), level=3)
-            return pa.RecordBatch.from_arrays([longs([number]), longs([size]), pa.array([packed], pa.binary())], ["batch", "n_bytes", "packed"])
+            columns = [longs([number]), longs([size]), pa.array([packed], pa.binary())]
+            if with_rows:
+                columns.append(pa.array([_zip(_stream(pa.Table.from_batches(parts)), level=3)], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["batch", "n_bytes", "packed", "rows"][: len(columns)])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            rest, begin = batch.select(["row"]) if with_rows else None, 0
+            none = batch.column("text").is_null().to_pylist()
+            for n, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch)), start=1):
                 ids.append(doc_id)
                 held.append(text)
+                missing.append(none[n - 1])
                 size += len(text)
                 if size >= batch_bytes or len(ids) >= batch_bytes // 16:
+                    if with_rows:
+                        parts.append(rest.slice(begin, n - begin))
+                        begin = n
                     yield row()
-                    ids, held, size, number = [], [], 0, number + 1
+                    ids, held, missing, parts, size, number = [], [], [], [], 0, number + 1
+            if with_rows:
+                parts.append(rest.slice(begin))
         if ids:
             yield row()
 
-    return ids_and_text(documents).mapInArrow(pack, "batch long, n_bytes long, packed binary")
+    read = ids_and_text(documents)
+    if with_rows:
+        others = [F.col(f"`{name}`") for name in documents.columns if name != "text"]
+        read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row"))
+    return read.mapInArrow(pack, "batch long, n_bytes long, packed binary" + ", rows binary" * with_rows)
+
+
+def _stream(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
 
 
 class Batch:
@@ -304,7 +332,7 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
     key = padded[:n].copy()
     for k in range(1, 7):
         key = key << 9 | padded[k : n + k]
-    order, reach = np.argsort(key, kind="stable"), 7
+    order, reach = np.argsort(key), 7
     while True:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
@@ -313,7 +341,7 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - reach, 0)] = rank[reach:] + 1
         key = rank * (n + 1) + after
-        order, reach = np.argsort(key, kind="stable"), 2 * reach
+        order, reach = np.argsort(key), 2 * reach
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,30 +354,45 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all transforms in the order of their suffixes' first `length` symbols, and whether each begins an interval
-    of suffixes that share them. Terminators are all different."""
+    of suffixes that share them. Terminators are all different.
+
+    Pass h deals the rows of intervals that pass h - 1 has split, by the symbol before them: only what stands before such a row
+    can still part. All other intervals are final or wait for a split, and keep their places.
+    """
     symbols = np.concatenate([bwt for bwt, _ in shards])
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(bwt) for bwt, _ in shards])
-    # Rows ordered by their own first symbol: a shard's rows are sorted, and so are its symbols taken as first ones.
-    first = np.concatenate([np.sort(bwt) for bwt, _ in shards])
-    ends = int(np.count_nonzero(first == 0))
-    order = np.argsort(first, kind="stable")
-    interleave, sorted_first = shard[order], first[order]
-    new = np.append(True, sorted_first[1:] != sorted_first[:-1])
-    new[:ends] = True
-    fixed = interleave[:ends]
-    row = np.empty(len(symbols), np.int64)
+    n = len(symbols)
+    firsts, link, base = [], np.empty(n, np.int32), 0  # link: from a row to that of the suffix one symbol longer
+    for bwt, _ in shards:
+        link[base + np.argsort(bwt, kind="stable")] = np.arange(base, base + len(bwt), dtype=np.int32)
+        firsts.append(np.sort(bwt))
+        base += len(bwt)
+    # A shard's rows are sorted, and so are its symbols taken as first ones.
+    first = np.concatenate(firsts)
+    row = np.argsort(first, kind="stable").astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[row] = np.arange(n, dtype=np.int32)
+    first = first[row]
+    new = np.append(True, (first[1:] != first[:-1]) | (first[1:] == 0))
+    at, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)  # places of split intervals, and their numbers before the split
     for _ in range(length - 1):
-        row[np.argsort(interleave, kind="stable")] = np.arange(len(symbols))
-        before = symbols[row]
-        dealt = np.argsort(before, kind="stable")[ends:]
-        interval = np.cumsum(new)[dealt]
-        symbol = before[dealt]
-        marks = np.append(True, (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1]))
-        refined = np.concatenate([fixed, interleave[dealt]])
-        if np.array_equal(marks, new[ends:]) and np.array_equal(refined, interleave):
-            break  # a fixed point: later passes change nothing
-        interleave, new = refined, np.append(np.ones(ends, bool), marks)
-    row[np.argsort(interleave, kind="stable")] = np.arange(len(symbols))
+        sources = row[at]
+        before, part = symbols[sources], np.cumsum(new[at], dtype=np.int32)
+        dealt = np.argsort(before, kind="stable")[np.count_nonzero(before == 0) :]
+        if not len(dealt):
+            break
+        symbol, block, part, image = before[dealt], block[dealt], part[dealt], link[sources[dealt]]
+        # All rows with one symbol before one interval are a whole interval; its places stay, the order in it is new.
+        edge = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
+        starts = np.flatnonzero(edge).astype(np.int32)
+        sizes = np.diff(np.append(starts, len(dealt)))
+        to = np.repeat(np.minimum.reduceat(place[image], starts) - starts, sizes) + np.arange(len(dealt), dtype=np.int32)
+        mark = np.append(False, part[1:] != part[:-1]) & ~edge
+        row[to], place[image] = image, to
+        new[to[mark]] = True
+        split = np.repeat(np.logical_or.reduceat(mark, starts), sizes)
+        at, block = to[split], np.repeat(np.arange(len(starts), dtype=np.int32), sizes)[split]
+        if not len(at):
+            break
     return row, new
 
 
@@ -453,33 +496,44 @@ def _removed(batch: Batch, name: np.ndarray, position: np.ndarray, answers: list
     return np.cumsum(change)[:n] > 0
 
 
-def _finish(rows: Iterator[pa.RecordBatch], length: int, anchor: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _finish(rows: Iterator[pa.RecordBatch], length: int, anchor: int, with_text: bool, with_rows: bool) -> Iterator[pa.RecordBatch]:
     for part in rows:
-        for packed, shared, answers in zip(*(part.column(name).to_pylist() for name in ("packed", "shared", "answers"))):
+        carried = part.column("rows").to_pylist() if with_rows else [None] * part.num_rows
+        for packed, shared, answers, raw in zip(*(part.column(name).to_pylist() for name in ("packed", "shared", "answers")), carried):
             batch = Batch(packed)
             _, _, name, position = _places(batch, shared, length, anchor) if answers else (None,) * 4
             removed = _removed(batch, name, position, answers or [], length)
             gone, spans, digests, kept_texts = [], [], [], []
-            for start, end in zip(batch.starts.tolist(), batch.ends.tolist()):
+            for start, end, null in zip(batch.starts.tolist(), batch.ends.tolist(), batch.nulls.tolist()):
                 mask = removed[start:end]
                 kept = batch.values[start:end][~mask].tobytes()
                 gone.append(end - start - len(kept))
                 spans.append(int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(mask[:1].sum()) if gone[-1] else 0)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
-                    kept_texts.append(kept.decode("utf-8", "ignore"))
-            ids = pa.array(batch.ids, pa.int64(), mask=batch.nulls.astype(bool))
+                    kept_texts.append(None if null & 2 else kept.decode("utf-8", "ignore"))
+            ids = pa.array(batch.ids, pa.int64(), mask=(batch.nulls & 1).astype(bool))
             columns = [ids, longs(batch.lengths), longs(gone), longs(spans), pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 columns, names = [*columns, pa.array(kept_texts, pa.string())], [*names, "kept_text"]
+            if with_rows:
+                held = pa.ipc.open_stream(_unzip(raw, None)[0]).read_all().combine_chunks()
+                columns, names = [*columns, held.column("row").chunk(0)], [*names, "row"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept_text of each row."""
-    packed = materialize(batches_of(documents, batch_bytes), "dedup-batches")
-    buckets = 1 + (packed.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes
+def remove_repeats(
+    documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, with_rows: bool = False,
+    batch_bytes: int = BATCH, bucket_bytes: int = BUCKET, hot: int = HOT,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row.
+
+    `with_text` adds kept_text, null where the text is; `with_rows` adds `row`, a struct of the row's columns but its text.
+    """
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = 1 + size // bucket_bytes
+    packed = materialize_in_buckets(batches_of(documents, batch_bytes, with_rows), "dedup-batches", "batch", buckets)
 
     def shared(table: pa.Table) -> pa.Table:
         return _shared_anchors(table, hot)
@@ -502,6 +556,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
     sent = packed.join(asked, "batch").select("batch", "packed", "shared").mapInArrow(strings, "batch long, bucket long, strings binary")
     replies = sent.groupBy("bucket").applyInArrow(resolve, "batch long, answer binary")
     marks = replies.groupBy("batch").agg(F.collect_list("answer").alias("answers"))
-    joined = packed.join(asked, "batch", "left").join(marks, "batch", "left").select("packed", "shared", "answers")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(lambda rows: _finish(rows, length, anchor, with_text), schema)
+    carried = ["rows"] * with_rows
+    # The answers are the smaller side: hashed, so that the batches need no sort.
+    joined = packed.join(asked, "batch", "left").join(marks.hint("shuffle_hash"), "batch", "left").select("packed", "shared", "answers", *carried)
+    schema = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if with_text:
+        schema = schema.add("kept_text", "string")
+    if with_rows:
+        schema = schema.add("row", StructType([field for field in documents.schema.fields if field.name != "text"]))
+    return joined.mapInArrow(lambda rows: _finish(rows, length, anchor, with_text, with_rows), schema)

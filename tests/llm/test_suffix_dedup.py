@@ -9,8 +9,8 @@ import pytest
 from pactlens.llm import suffix_dedup
 
 
-def plain(rows, length=50):
-    """The contract's columns, window by window."""
+def plain_marks(rows, length=50):
+    """For each row, which bytes of its text go, window by window."""
     texts = [(doc_id, (text or "").encode()) for doc_id, text in rows]
     order = lambda doc_id: 2**63 if doc_id is None else doc_id
     first = {}
@@ -24,6 +24,15 @@ def plain(rows, length=50):
         for at in range(len(text) - length + 1):
             if first[text[at : at + length]] < order(doc_id):
                 gone[at : at + length] = b"\x01" * length
+        out.append(gone)
+    return out
+
+
+def plain(rows, length=50):
+    """The contract's columns."""
+    out = []
+    for (doc_id, text), gone in zip(rows, plain_marks(rows, length)):
+        text = (text or "").encode()
         kept = bytes(b for b, g in zip(text, gone) if not g)
         spans = sum(g and not (n and gone[n - 1]) for n, g in enumerate(gone))
         out.append((doc_id, len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -61,6 +70,23 @@ def test_kept_text_and_empty_table(make_documents):
     assert got(suffix_dedup.remove_repeats(make_documents([(1, None)]))) == plain([(1, None)])
 
 
+def test_rows_are_carried(make_documents):
+    shared = "".join(chr(97 + n % 26) + str(n) for n in range(40))
+    rows = [(1, shared), (2, "before " + shared), (2, None), (None, shared + "é"), (3, "")] * 9
+    frame = make_documents(rows, row=5, batch="b", kept_text=None, n_removed=2.5)
+    got_rows = suffix_dedup.remove_repeats(frame, with_text=True, with_rows=True, batch_bytes=300).collect()
+    assert sorted(str((r.doc_id, r.kept_text is None)) for r in got_rows) == sorted(str((i, t is None)) for i, t in rows)
+    assert all(r.row.doc_id == r.doc_id and r.row["row"] == 5 and r.row.batch == "b" and r.row.n_removed == 2.5 and "text" not in r.row for r in got_rows)
+
+
+def test_one_very_long_text(make_documents):
+    draw = random.Random(6)
+    long_text = " ".join(str(draw.randrange(10**9)) for _ in range(2_000_000))  # about 20 MB
+    rows = [(1, "head|" + long_text[5_000_000:5_100_000]), (2, long_text), (3, long_text[-70:])]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(make_documents(rows)).collect()}
+    assert found[1][1] == 0 and found[2][1:] == (100_000, 1) and found[3] == (70, 70, 1)
+
+
 def test_merge_of_transforms_orders_suffixes():
     draw = random.Random(8)
     for shards in (1, 2, 3, 4):
