@@ -99,6 +99,37 @@ def left_join_spread(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str
     return keyed.join(salted, condition, "left").drop("join_salt", "lookup_salt", lookup_key)
 
 
+HOT_SHARE = 1000  # a key with more than this part of all rows is hot
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to their parents by `key`, in which no key gathers in one task, whatever the session's settings.
+
+    A count, combined on the map side, finds the keys that hold more than a thousandth of all rows: fewer than a thousand,
+    so they may be broadcast. Their rows are dealt over salts in proportion to their number, their parent rows are
+    copied once per salt; all other rows have one salt. Rows that are equal in all columns share a salt.
+    """
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("hot_rows"))
+    total = many.agg(F.count(F.lit(1))).scalar()
+    hot = counts.where(F.col("hot_rows") * HOT_SHARE > total).select(
+        F.col(key).alias("hot_key"), F.ceil(F.col("hot_rows") * HOT_SHARE / total).cast("int").alias("hot_salts")
+    )
+    dealt = many.join(F.broadcast(hot), many[key] == hot["hot_key"], "left")
+    # Not a constant for usual rows: it would be folded out of the join's keys.
+    dealt = dealt.withColumn("hot_salt", F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in many.columns]), F.coalesce("hot_salts", F.lit(1))).cast("int"))
+    copied = one.join(F.broadcast(hot), one[key] == hot["hot_key"], "left")
+    copied = copied.withColumn("hot_salt", F.explode(F.sequence(F.lit(0), F.coalesce("hot_salts", F.lit(1)) - 1)))
+    return dealt.drop("hot_key", "hot_salts").join(copied.drop("hot_key", "hot_salts"), [key, "hot_salt"]).drop("hot_salt")
+
+
+def left_join_hot(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Left join of parents to their rows, hot keys as in `join_hot`; parents without rows keep one with NULLs."""
+    alone = one.join(many.select(key).distinct(), key, "left_anti")
+    rest = [F.lit(None).cast(field.dataType).alias(field.name) for field in many.schema.fields if field.name != key]
+    columns = [*one.columns, *[name for name in many.columns if name != key]]
+    return join_hot(many, one, key).select(columns).unionByName(alone.select("*", *rest))
+
+
 def header_with_parent_group(headers: DataFrame, groups: DataFrame) -> DataFrame:
     """Headers with the forecast of their parent's headline group."""
     parents = headline_groups(groups).select(

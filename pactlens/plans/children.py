@@ -62,6 +62,18 @@ class PageScope:
         """First table of a chain, written."""
         return materialize(self.of(child, key, parent), "page-chain")
 
+    def flagged(self, child: DataFrame, wanted: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+        """Rows of one table that several chains want, read once and written: flag -> (its key, keys, their column)."""
+        marked = child
+        for flag, (key, keys, column) in wanted.items():
+            known = keys.select(F.col(column).alias(f"key_{flag}")).distinct()
+            marked = marked.join(known, marked[key] == known[f"key_{flag}"], "left")
+            marked = marked.withColumn(flag, F.col(f"key_{flag}").isNotNull()).drop(f"key_{flag}")
+        any_flag = F.lit(False)
+        for flag in wanted:
+            any_flag = any_flag | F.col(flag)
+        return materialize(marked.where(any_flag), "page-chain")
+
 
 def addendum_lists(addenda: DataFrame) -> DataFrame:
     """Names, types, statuses and ids of a header's addenda by name, and their number."""

@@ -8,7 +8,7 @@ header scan; (4) add every summary and measure to those rows, from children of t
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,15 +178,23 @@ def matching_rows(tables: AgreementTables, request: SearchRequest, candidates: D
     return rows.drop("open_hdr_id", "open_cons_status", "miles_hdr_id")
 
 
-def page_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
+def date_ranks(tables: AgreementTables, request: SearchRequest) -> DataFrame:
+    """Rank index of a request: rows and rank per creation date, whatever the page. The one pass that counts matching rows."""
+    rows = matching_rows(tables, request, header_candidates(tables, request))
+    return materialize(rank_of_values(rows, "created_date"), "rank-index")
+
+
+def page_rows(tables: AgreementTables, request: SearchRequest, ranks: DataFrame | None = None) -> DataFrame:
     """Rows of the wanted page with their rank, written once.
 
-    The first pass only counts rows per creation date. The page's dates are at most `page_size` rows;
-    the second pass reads the headers created between the first and last of them, and writes those
-    before it joins, so that the joins of a small page start from a small side of known size.
+    The first pass only counts rows per creation date; with `ranks`, a rank index kept from another page of the same
+    request, there is none. The page's dates are at most `page_size` rows; the second pass reads the headers created
+    between the first and last of them, and writes those before it joins, so that the joins of a small page start from a
+    small side of known size.
     """
     candidates = header_candidates(tables, request)
-    ranks = rank_of_values(matching_rows(tables, request, candidates), "created_date")
+    if ranks is None:
+        ranks = rank_of_values(matching_rows(tables, request, candidates), "created_date")
     on_page = page_of(F.col("rnk"), request.page_number, request.page_size)
     dates = materialize(ranks.where(on_page).select("rank_key", "rnk"), "page-dates")
     created = F.col("created_date")
@@ -196,9 +204,9 @@ def page_rows(tables: AgreementTables, request: SearchRequest) -> DataFrame:
     return materialize(rows, "page-rows")
 
 
-def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, scope: Scope, rules: DataFrame) -> DataFrame:
-    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate, `rules` are those of its headers."""
-    headline = joins.headline_groups(scope.of(tables.inc_agreement_group, "inc_hdr_id", "inc_hdr_id")).select(
+def add_loyalty_measures(rows: DataFrame, tables: AgreementTables, scope: Scope, rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """Amounts and ratios of the loyalty bonus product; `rows` has fx_rate, `rules` and `groups` are those of its headers."""
+    headline = joins.headline_groups(groups).select(
         "inc_hdr_id",
         F.col("expected_base_revenue").alias("headline_expected"),
         F.col("forecast_base_rev").alias("headline_forecast"),
@@ -227,15 +235,50 @@ def attach(keys: DataFrame, key: str, frames: list[DataFrame]) -> DataFrame:
     return facts
 
 
-def header_facts(tables: AgreementTables, scope: PageScope, rules: DataFrame) -> DataFrame:
-    """One row per header of the page: lists, flags and sums of its children."""
+@dataclass(frozen=True)
+class RuleChain:
+    """Rules, periods, slabs and what-ifs of a page, each table read once; header and group facts share them.
+
+    `rules` holds those of the page's headers (of_header) and those below its groups' payout types (of_group).
+    """
+
+    rules: DataFrame
+    periods: DataFrame
+    values: DataFrame
+    whatifs: DataFrame
+    models: DataFrame | None
+    types: DataFrame | None
+    payouts: DataFrame | None
+
+    @property
+    def of_headers(self) -> DataFrame:
+        return self.rules.where("of_header")
+
+
+def rule_chain(tables: AgreementTables, scope: PageScope, with_groups: bool) -> RuleChain:
+    """The page's part of the two chains that end in slabs: by header, and by group where `with_groups`."""
+    models = types = payouts = None
+    wanted = {"of_header": ("rule_header_id", scope.page, "inc_hdr_id")}
+    if with_groups:
+        models = scope.start(tables.inc_models, "agreement_group_id", "agreement_group_id")
+        types = scope.chained(tables.inc_types, models, "inc_model_id")
+        payouts = scope.chained(tables.inc_payout_types, types, "inc_type_id")
+        wanted["of_group"] = ("payout_type_id", payouts, "payout_type_id")
+    rules = scope.flagged(tables.inc_rule_comp_hdr, wanted)
+    periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
+    values = scope.chained(tables.inc_rule_comp_value, periods, "rule_comp_period_id")
+    whatifs = scope.chained(tables.inc_rule_comp_whatif, rules, "rule_comp_hdr_id")
+    return RuleChain(rules, periods, values, whatifs, models, types, payouts)
+
+
+def header_facts(tables: AgreementTables, scope: PageScope, chain: RuleChain, groups: DataFrame) -> DataFrame:
+    """One row per header of the page: lists, flags and sums of its children; `groups` are those of its headers."""
 
     def of_page(child: DataFrame) -> DataFrame:
         return scope.of(child, "inc_hdr_id", "inc_hdr_id")
 
-    page = scope.page
+    page, rules = scope.page, chain.of_headers
     exceptions = of_page(tables.inc_exceptions)
-    periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
     spans = page.select("inc_hdr_id", F.col("inc_from").alias("effective_from"), F.col("inc_to").alias("effective_to")).distinct()
     frames = [
         children.addendum_lists(of_page(tables.inc_add_hdr)),
@@ -244,27 +287,22 @@ def header_facts(tables: AgreementTables, scope: PageScope, rules: DataFrame) ->
         children.first_deals(of_page(tables.offer_deal_codes)),
         children.master_tracks(of_page(tables.inc_associated_accounts)),
         children.terminate_reasons(page.select("inc_hdr_id", "status", "activity_id"), tables.svc_trx_task_plan, tables.mst_code_dtl),
-        children.first_slab_targets(rules, periods, tables.inc_rule_comp_value, tables.inc_rbd_products),
+        children.first_slab_targets(rules, chain.periods, chain.values, tables.inc_rbd_products),
         flag_frame(of_page(tables.inc_process_dtl), "inc_hdr_id", "is_approved"),
         flag_frame(of_page(tables.inc_ticketing_agents), "inc_hdr_id", "is_ticketed"),
-        flag_frame(joins.shrinking_headers(spans, rules, tables.inc_rule_comp_whatif), "inc_hdr_id", "is_shrinking"),
-        children.master_sums(of_page(tables.inc_agreement_group)),
+        flag_frame(joins.shrinking_headers(spans, rules, chain.whatifs), "inc_hdr_id", "is_shrinking"),
+        children.master_sums(groups),
     ]
     return attach(page, "inc_hdr_id", frames)
 
 
-def group_facts(tables: AgreementTables, scope: PageScope) -> DataFrame:
+def group_facts(tables: AgreementTables, scope: PageScope, chain: RuleChain) -> DataFrame:
     """One row per group of the page: payout frequency and plan flags."""
-    models = scope.start(tables.inc_models, "agreement_group_id", "agreement_group_id")
-    types = scope.chained(tables.inc_types, models, "inc_model_id")
-    payouts = scope.chained(tables.inc_payout_types, types, "inc_type_id")
-    rules = scope.chained(tables.inc_rule_comp_hdr, payouts, "payout_type_id")
-    periods = scope.chained(tables.inc_rule_comp_period, rules, "rule_comp_hdr_id")
-    values = scope.chained(tables.inc_rule_comp_value, periods, "rule_comp_period_id")
-    uncapped = children.uncapped_groups(models, types, payouts, rules, periods, values)
+    rules = chain.rules.where("of_group")
+    uncapped = children.uncapped_groups(chain.models, chain.types, chain.payouts, rules, chain.periods, chain.values)
     frames = [
-        children.payout_frequencies(models, types, payouts, tables.mst_code_dtl),
-        flag_frame(children.fixed_fund_groups(models, types), "agreement_group_id", "is_fixed"),
+        children.payout_frequencies(chain.models, chain.types, chain.payouts, tables.mst_code_dtl),
+        flag_frame(children.fixed_fund_groups(chain.models, chain.types), "agreement_group_id", "is_fixed"),
         flag_frame(uncapped, "agreement_group_id", "is_uncapped"),
     ]
     return attach(scope.page, "agreement_group_id", frames)
@@ -286,18 +324,40 @@ def customer_facts(tables: AgreementTables, scope: PageScope) -> DataFrame:
     return attach(scope.page, "customer_profile_id", frames)
 
 
-def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFrame | None:
-    """One page of agreements, newest first by rank, in the columns of SEARCH_COLUMNS.
+class PagedSearch:
+    """Pages of one request over unchanged tables. Its rank index is written with the first page and serves all others."""
+
+    def __init__(self, tables: AgreementTables, request: SearchRequest):
+        self.tables, self.request = tables, request
+        self._ranks: DataFrame | None = None
+
+    def page(self, number: int) -> DataFrame:
+        request = replace(self.request, page_number=number)
+        if self._ranks is None and request.opens_result():
+            self._ranks = date_ranks(self.tables, request)
+        return search_agreements(self.tables, request, self._ranks)
+
+
+def no_result(tables: AgreementTables, request: SearchRequest) -> DataFrame:
+    """The columns of a result without rows, from the search's own plan; no table is read."""
+    nothing = AgreementTables(tables.spark, lambda name: getattr(tables, name).where(F.lit(False)))
+    plain = replace(request, incentive_id=None, is_product_level="N", product_code=request.product_code or "")
+    return search_agreements(nothing, plain)
+
+
+def search_agreements(tables: AgreementTables, request: SearchRequest, ranks: DataFrame | None = None) -> DataFrame:
+    """One page of agreements, newest first by rank, in the columns of SEARCH_COLUMNS; `ranks` as for `page_rows`.
 
-    None when the request asks for no result set (an explicit agreement id, or product level).
+    A request that asks for no result set (an explicit agreement id, or product level) gives no rows.
     """
     if not request.opens_result():
-        return None
+        return no_result(tables, request)
     as_of = request.as_of or dt.date.today()
-    page = page_rows(tables, request)
+    page = page_rows(tables, request, ranks)
     scope = PageScope(page)
-    rules = scope.start(tables.inc_rule_comp_hdr, "rule_header_id", "inc_hdr_id")
     plb = request.product_code == PRODUCT_LOYALTY_BONUS
+    chain = rule_chain(tables, scope, with_groups=plb)
+    groups = scope.start(tables.inc_agreement_group, "inc_hdr_id", "inc_hdr_id")
     status = measures.derived_status(request.product_code, as_of)
     rows = page.withColumn("agreement_new_status", status)
     rows = rows.where(filters.all_of(filters.in_list(F.col("agreement_new_status"), request.agreement_status)))
@@ -307,11 +367,11 @@ def search_agreements(tables: AgreementTables, request: SearchRequest) -> DataFr
     else:
         rows = rows.withColumn("fx_rate", F.lit(None).cast("decimal(9,3)"))
     if plb:
-        rows = measures.round_amounts(add_loyalty_measures(rows, tables, scope, rules))
-        rows = rows.join(group_facts(tables, scope), "agreement_group_id", "left")
+        rows = measures.round_amounts(add_loyalty_measures(rows, tables, scope, chain.of_headers, groups))
+        rows = rows.join(group_facts(tables, scope, chain), "agreement_group_id", "left")
     else:
         rows = measures.no_loyalty_measures(rows)
-    rows = rows.join(header_facts(tables, scope, rules), "inc_hdr_id", "left")
+    rows = rows.join(header_facts(tables, scope, chain, groups), "inc_hdr_id", "left")
     rows = rows.join(customer_facts(tables, scope), "customer_profile_id", "left")
     rows = joins.with_lookup(rows, tables.mst_code_dtl, {"industry_sector": "code"}, "description", "industry_description", ("code_type",))
     rows = joins.with_lookup(

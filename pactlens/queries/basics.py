@@ -26,6 +26,11 @@ def scan_filtered(t):
     return t.inc_add_hdr.where(F.col("inc_hdr_id") == 357).drop("inc_hdr_id")
 
 
+@query("scan_codes_of_type", "SELECT code, description FROM mst_code_dtl WHERE code_type = 'INCPAYFREQ'")
+def scan_codes_of_type(t):
+    return joins.codes_of_type(t.mst_code_dtl, "INCPAYFREQ").select("code", "description")
+
+
 @query(
     "derived_table",
     """SELECT a.inc_hdr_id, a.add_hdr_id, a.add_type, c.description

@@ -40,7 +40,7 @@ REQUEST_TEXT = f"""'<EnrolmentRequest xmlns:i="http://www.w3.org/2001/XMLSchema-
     || c_custkey || '</Address1>{_nil('Address2', 'Address3')}<City>CT' || c_nationkey || '</City><CommunicationDetails>'
     || CASE WHEN c_custkey % 3 >= 1 THEN {_entry(1)} ELSE '' END || CASE WHEN c_custkey % 3 = 2 THEN {_entry(2)} ELSE '' END
     || '</CommunicationDetails><CompanyName>' || c_name || '</CompanyName>{_nil('CompanyEmailId')}'
-    || '<EnrollmentDate>2021-10-07T09:40:0' || (c_custkey % 10) || '.1234567+03:00</EnrollmentDate>'
+    || '<EnrollmentDate>2023-02-11T13:25:0' || (c_custkey % 10) || '.1234567+03:00</EnrollmentDate>'
     || '<PassportExpiry>' || CASE WHEN c_custkey % 4 = 0 THEN '{YEAR_ONE}' ELSE '2024-05-0' || (c_custkey % 4) || 'T00:00:00' END
     || '</PassportExpiry><ProfileReferencekey>K' || c_custkey || '</ProfileReferencekey>{_nil('PromoCode')}<TravelCoOrdinators>'
     || {_coordinator(1)} || CASE WHEN c_custkey % 2 = 1 THEN {_coordinator(2)} ELSE '' END
@@ -94,11 +94,11 @@ LOG_TEXT = f"""'Timestamp: ' || date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS') || '{
     || '{GAP}UserName: SYSTEM{GAP}Method:M' || (user_id % 3) || '{GAP}Identity:{GAP}Logger:App.Log'"""
 
 # Text of one response record per customer, but for every fourth.
-ANSWER_TEXT = """'2021-10-07 09:40:05,562 Message: Answer:\\n<ServiceResponse xmlns:i="http://www.w3.org/2001/XMLSchema-instance"'
+ANSWER_TEXT = """'2023-02-11 13:26:41,250 Message: Reply:\\n<ServiceResponse xmlns:i="http://www.w3.org/2001/XMLSchema-instance"'
     || ' xmlns="urn:example:answer"><Action i:nil="true" /><Errors xmlns:d2p1="urn:example:arrays">'
     || CASE WHEN c_custkey % 3 = 0 THEN '<d2p1:string>Customer exists</d2p1:string>' ELSE '' END || '</Errors><ProfileReferencekey>K' || c_custkey
     || '</ProfileReferencekey><Status>' || CASE WHEN c_custkey % 3 = 0 THEN 'false' ELSE 'true' END || '</Status></ServiceResponse>'
-    || ' Severity:INFO Machine:Host Process Name:App Thread Id:[1] Exception: UserName: SYSTEM Method:Answer Identity: Logger:App.Log'"""
+    || ' Severity:INFO Machine:Host Process Name:App Thread Id:[1] Exception: UserName: SYSTEM Method:Reply Identity: Logger:App.Log'"""
 
 
 def _base(t, name: str):
@@ -207,7 +207,7 @@ def xml_communications(t):
     "nil_and_sentinel_to_null",
     """SELECT 'K' || c_custkey AS reference, CAST(NULL AS VARCHAR) AS address2, CAST(NULL AS VARCHAR) AS promo_code,
         CASE WHEN c_custkey % 4 <> 0 THEN '2024-05-0' || (c_custkey % 4) || ' 00:00:00' END AS passport_expiry,
-        '2021-10-07 06:40:0' || (c_custkey % 10) AS enrolled_at FROM customer""",
+        '2023-02-11 10:25:0' || (c_custkey % 10) AS enrolled_at FROM customer""",
 )
 def nil_and_sentinel_to_null(t):
     doc = F.col("doc")
@@ -292,6 +292,92 @@ def log_stack_frames(t):
     return payloads.stack_frames(_log_rows(t), "event_id")
 
 
+# Sends of a request (custkey % 3 + 1 of them, 20 seconds apart) and replies: most 10 seconds after their send, some not at all, those of
+# every sixth customer only after all sends (last send first), and every seventh customer has one before any send.
+SENDS = "SELECT c_custkey, n FROM customer, (VALUES (0), (1), (2)) AS v(n) WHERE n <= c_custkey % 3"
+REPLIES = """SELECT c_custkey, n, CASE WHEN c_custkey % 6 = 5 THEN 100 - n ELSE 20 * n + 10 END AS second FROM sends WHERE (c_custkey + n) % 4 <> 0
+    UNION ALL SELECT c_custkey, -1, -5 FROM customer WHERE c_custkey % 7 = 0"""
+
+
+@query(
+    "request_response_order",
+    f"""WITH sends AS ({SENDS}), replies AS ({REPLIES}),
+    pairs AS (SELECT s.c_custkey, s.n AS sent, r.n AS said, r.second, row_number() OVER (PARTITION BY r.c_custkey, r.n ORDER BY s.n DESC) AS nearest
+        FROM sends s JOIN replies r ON r.c_custkey = s.c_custkey AND 20 * s.n <= r.second
+        WHERE (SELECT count(*) FROM sends o WHERE o.c_custkey = s.c_custkey AND o.n > s.n AND 20 * o.n <= r.second)
+            = (SELECT count(*) FROM replies o WHERE o.c_custkey = s.c_custkey AND o.second >= 20 * s.n AND o.second < r.second))
+    SELECT 'K' || s.c_custkey AS reference, {big('s.n', 'attempt')}, p.said IS NOT NULL AS answered, 'S' || p.said AS status, {big('p.second', 'answer_second')}
+    FROM sends s LEFT JOIN pairs p ON p.c_custkey = s.c_custkey AND p.sent = s.n AND p.nearest = 1""",
+)
+def request_response_order(t):
+    """Requests that were sent again, each with its own answer."""
+    customers = _base(t, "customer").select("c_custkey")
+    sends = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))).alias("n"))
+    keys = [F.concat(F.lit("K"), "c_custkey").alias("reference"), F.concat(F.lit("["), F.col("c_custkey") % 4, F.lit("]")).alias("thread_id")]
+    start = F.lit("2023-02-11 13:00:00").cast("timestamp_ntz")
+    at = lambda second: (start + F.make_dt_interval(secs=second)).alias("at")
+    requests = sends.select(*keys, at(F.col("n") * 20), (F.col("c_custkey") * 10 + F.col("n")).cast("long").alias("request_id"), F.col("n").alias("attempt"))
+    usual = sends.where((F.col("c_custkey") + F.col("n")) % 4 != 0).withColumn(
+        "second", F.when(F.col("c_custkey") % 6 == 5, 100 - F.col("n")).otherwise(20 * F.col("n") + 10)
+    )
+    early = customers.where(F.col("c_custkey") % 7 == 0).select("c_custkey", F.lit(-1).alias("n"), F.lit(-5).alias("second"))
+    replies = usual.unionByName(early).select(*keys, at(F.col("second")), F.concat(F.lit("S"), "n").alias("status"), F.col("second").alias("answer_second"))
+    found = payloads.answers_in_order(requests, replies)
+    return found.select("reference", "attempt", F.col("status").isNotNull().alias("answered"), "status", "answer_second")
+
+
+ROOT_SQL = "CASE WHEN event_id % 2 = 0 THEN 'IO.IOException' ELSE 'Net.RequestException' END"
+
+
+@query(
+    "log_top_frames",
+    f"""WITH frames AS (SELECT {ROOT_SQL} AS exception_type, unnest(['Net.Sockets.Socket.EndReceive', 'Net.Stream.EndRead',
+            'App.Client.Step' || (user_id % 40)]) AS frame FROM events WHERE event_type = 'error'),
+    counted AS (SELECT exception_type, frame, count(*) AS records FROM frames GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY exception_type ORDER BY records DESC, frame) AS rank FROM counted)
+    SELECT exception_type, {big('rank')}, frame, {big('records')} FROM ranked WHERE rank <= 6""",
+)
+def log_top_frames(t):
+    """The frames that root causes pass through most often."""
+    record = F.regexp_replace(F.regexp_replace(F.expr(LOG_TEXT), "^Timestamp: ", ""), r"MoveNext\(\)", F.concat(F.lit("Step"), F.col("user_id") % 40, F.lit("()")))
+    rows = payloads.log_rows(_base(t, "events").where("event_type = 'error'").select("event_id", record.alias("record")), "event_id")
+    roots = payloads.exception_chain(rows, "event_id").where("is_root").select("event_id", "exception_type")
+    frames = payloads.stack_frames(rows, "event_id").select("event_id", F.concat_ws(".", "type_name", "method_name").alias("frame"))
+    return payloads.top_frames(frames.join(roots, "event_id"), "exception_type", "frame", 6)
+
+
+# An element of a page without blanks; every seventh last name holds what looks like a border.
+COMPACT_CONTACT = """'{"title":"MR","firstName":"F' || event_id || '","lastName":"' || CASE WHEN event_id % 7 = 0 THEN 'a},{\\\\"b' ELSE 'L' END
+    || event_id || '","emailID":"' || CASE WHEN event_id % 3 = 1 THEN '' ELSE 'e' || event_id END || '","pageNumber":' || (event_id % 9) || '}'"""
+
+
+@query(
+    "json_large_pages",
+    """SELECT 'V' || (event_id // 3000) AS page, CAST(row_number() OVER (PARTITION BY event_id // 3000 ORDER BY event_id) - 1 AS BIGINT) AS position,
+        'F' || event_id AS first_name, CASE WHEN event_id % 7 = 0 THEN 'a},{"b' ELSE 'L' END || event_id AS last_name,
+        CASE WHEN event_id % 3 <> 1 THEN 'e' || event_id END AS email, CAST(event_id % 9 AS BIGINT) AS page_number FROM events""",
+)
+def json_large_pages(t):
+    """Pages of one physical line each, cut at element borders."""
+    path = scratch_path(t.spark, "large-pages")
+    texts = _base(t, "events").select(F.expr("event_id div 3000").alias("page"), "event_id", F.expr(COMPACT_CONTACT).alias("text"))
+    bodies = texts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("event_id", "text"))).alias("items"))  # the stand-in's own pages
+    body = F.array_join(F.transform("items", lambda item: item["text"]), ",")
+    head = F.concat(F.lit('{"validationCode":"V'), "page", F.lit('","productCode":"P","pageNumber":1,"pageSize":999999999,"contactDetails":['))
+    page = F.concat(head, body, F.lit('],"errors":null,"action":"N","validationErrors":null}'))
+    bodies.select(page.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = documents.read_large_pages(t.spark, path)
+    contact = F.col("contact")
+    return rows.select(
+        F.col("envelope.validationCode").alias("page"),
+        "position",
+        contact["firstName"].alias("first_name"),
+        contact["lastName"].alias("last_name"),
+        payloads.blank_as_null(contact["emailID"]).alias("email"),
+        contact["pageNumber"].alias("page_number"),
+    )
+
+
 @query(
     "request_response_join",
     """SELECT 'K' || c_custkey AS reference, c_name AS company,

@@ -49,7 +49,8 @@ def join_inner_implicit(t):
     headers = t.inc_hdr.select("inc_hdr_id", "customer_profile_id")
     customers = t.customer_profile.select("customer_profile_id", "customer_name")
     groups = t.inc_agreement_group.select("inc_hdr_id", "agreement_group_id", F.col("status").alias("group_status"))
-    return headers.join(customers, "customer_profile_id").join(groups, "inc_hdr_id").drop("customer_profile_id")
+    named = joins.join_hot(headers, customers, "customer_profile_id").drop("customer_profile_id")
+    return joins.join_hot(groups, named, "inc_hdr_id")
 
 
 @query(
@@ -64,7 +65,7 @@ def join_left_outer(t):
     addenda = children.open_rule_addenda(t.inc_add_hdr).select(
         "inc_hdr_id", "cons_status", F.col("add_hdr_id_list").alias("add_hdr_id")
     )
-    return t.inc_hdr.select("inc_hdr_id").join(addenda, "inc_hdr_id", "left")
+    return joins.left_join_hot(t.inc_hdr.select("inc_hdr_id"), addenda, "inc_hdr_id")
 
 
 @query("join_left_lookup", f"WITH {ADDRESS_CTE} SELECT * FROM addr")

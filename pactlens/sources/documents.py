@@ -6,6 +6,7 @@ The readers take folders of many files; the parsers take a text column. Parsing
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +182,57 @@ def read_responses(spark: SparkSession, path: str, one_per_line: bool = True) ->
     return spark.read.schema(response_schema()).option("multiLine", not one_per_line).json(path)
 
 
+PAGE_SEPARATOR = "},{"
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def read_large_pages(spark: SparkSession, path: str, array: str = "contactDetails") -> DataFrame:
+    """Rows of pages that are one physical line each, one page per file: file, `envelope` (the page without its array), position
+    and `contact`, an element.
+
+    Such a line is cut at its element borders, so that the splits of one file are read by many tasks. Splits come as texts
+    between `},{`; one that stands inside a quoted value is no border. Whether a text begins inside a value follows from the
+    number of quotes before it: counted per text, summed per split, and summed over the splits of a file (a row each). Texts
+    of one element are joined again; what precedes the first element and follows the last one is the envelope.
+    Elements are flat objects, without blanks between them, as in the pages' schema. A page without elements keeps one row
+    with a NULL element.
+    """
+    read = spark.read.text(path, lineSep=PAGE_SEPARATOR).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "[\\r\\n]+$", "").alias("text")
+    )
+    bare = F.regexp_replace("text", r"\\.", "")
+    texts = read.withColumn("quotes", F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit(""))))
+    per_split = texts.groupBy("file", "split").agg(F.sum("quotes").alias("split_quotes"))
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)  # a row per split
+    per_split = per_split.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), F.coalesce(F.sum("split_quotes").over(earlier), F.lit(0)).alias("quotes_before"))
+    inside = W.partitionBy("file", "split").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    opened = texts.join(per_split, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
+    opened = opened.withColumn("starts", ((F.col("quotes_before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))) % 2 == 0).cast("long"))
+    # A text that begins outside a value begins an element; numbers of elements are summed in the same two steps.
+    by_split = opened.groupBy("file", "split").agg(F.sum("starts").alias("split_starts"))
+    by_split = by_split.select(F.col("file").alias("e_file"), F.col("split").alias("e_split"), F.coalesce(F.sum("split_starts").over(earlier), F.lit(0)).alias("starts_before"))
+    upto = W.partitionBy("file", "split").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = opened.join(by_split, (F.col("file") == F.col("e_file")) & (F.col("split") == F.col("e_split")))
+    numbered = numbered.withColumn("position", F.col("starts_before") + F.sum("starts").over(upto) - 1)
+    parts = F.array_sort(F.collect_list(F.struct("split", "at", "text")))  # of one element
+    elements = numbered.groupBy("file", "position").agg(F.array_join(F.transform(parts, lambda part: part["text"]), PAGE_SEPARATOR).alias("text"))
+
+    # The first element comes with the head of the page, the last with its tail; one of a kind per file.
+    head = rf'(?s)^(.*?"{array}"\s*:\s*\[)\s*\{{?(.*)$'
+    tail = rf'(?s)^((?:[^"{{}}\[\]]++|{_QUOTED})*+)\}}?\s*(\].*)$'
+    last = elements.groupBy("file").agg(F.max("position").alias("last"))
+    marked = elements.join(last.withColumnRenamed("file", "l_file"), F.col("file") == F.col("l_file")).drop("l_file")
+    is_first, is_last = F.col("position") == 0, F.col("position") == F.col("last")
+    found = F.regexp_extract("text", head, 1)
+    cut = marked.withColumn("head", F.when(is_first, F.when(found != "", found).otherwise(F.col("text")))).withColumn("text", F.when(is_first, F.regexp_extract("text", head, 2)).otherwise(F.col("text")))
+    cut = cut.withColumn("tail", F.when(is_last, F.regexp_extract("text", tail, 2))).withColumn("text", F.when(is_last, F.regexp_extract("text", tail, 1)).otherwise(F.col("text")))
+    contact = response_schema()["contactDetails"].dataType.elementType
+    rows = cut.select("file", "position", "head", "tail", F.when(F.trim("text") != "", F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), contact)).alias("contact"))
+    envelopes = rows.groupBy("file").agg(F.from_json(F.concat(F.max("head"), F.max("tail")), response_schema()).alias("envelope"))
+    named = envelopes.withColumnRenamed("file", "p_file")
+    return rows.join(named, F.col("file") == F.col("p_file")).select("file", "envelope", F.col("position").cast("int").alias("position"), "contact")
+
+
 def parse_responses(text: Column) -> Column:
     return F.from_json(text, response_schema())
 

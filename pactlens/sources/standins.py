@@ -126,7 +126,7 @@ def standin_sql(d: Dialect) -> dict[str, tuple[str, str]]:
                 'C' || (l_linenumber % 4) AS incentive_currency,
                 CASE l_linenumber % 3 WHEN 1 THEN 'Y' WHEN 2 THEN NULL ELSE 'N' END AS master_agreement,
                 l_shipdate AS effective_from,
-                {d.add_days('l_shipdate', 'l_partkey % 400')} AS effective_to,
+                CASE WHEN l_partkey % 23 <> 0 THEN {d.add_days('l_shipdate', 'l_partkey % 400')} END AS effective_to,
                 CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST({price} AS DECIMAL(18,4)) END AS expected_base_revenue,
                 CASE WHEN l_returnflag = 'N' THEN NULL
                     ELSE CAST({price} * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,4)) END AS forecast_base_rev,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pactlens.operators.aggregates import chunked_lists, latest, lowest, ordered_lists
 from pactlens.operators.exchange import with_rate
-from pactlens.operators.joins import contact_people, headline_groups, left_join_spread, names_of_code_lists
+from pactlens.operators.joins import contact_people, headline_groups, join_hot, left_join_hot, left_join_spread, names_of_code_lists
 
 
 def test_ordered_list_skips_null_and_keeps_order(spark):
@@ -88,6 +88,33 @@ def test_rate_is_latest_on_or_before(spark):
         assert (row.fx_rate if row.fx_rate is None else int(row.fx_rate)) == want
 
 
+def test_hot_headers_are_dealt_over_tasks(spark):
+    """A header with a third of all groups, under a session without adaptive skew joins."""
+    groups = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 997).alias("h"), F.col("id").alias("g"))
+    headers = spark.range(1200).select(F.col("id").cast("int").alias("h"), F.concat(F.lit("n"), "id").alias("name"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = join_hot(groups, headers, "h")
+        held = joined.where("h = 5").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        got = sorted(map(tuple, joined.select("h", "g", "name").collect()))
+        left = sorted(map(str, map(tuple, left_join_hot(headers, groups, "h").select("h", "name", "g").collect())))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(held) == 4 and max(r["count"] for r in held) < 0.5 * sum(r["count"] for r in held)
+    plain = groups.join(headers, "h").select("h", "g", "name")
+    assert got == sorted(map(tuple, plain.collect()))
+    assert left == sorted(map(str, map(tuple, headers.join(groups, "h", "left").select("h", "name", "g").collect())))
+
+
+def test_hot_join_of_nothing(spark):
+    groups, headers = spark.range(0).withColumnRenamed("id", "h"), spark.range(3).select(F.col("id").alias("h"), F.lit(1).alias("v"))
+    assert join_hot(groups, headers, "h").count() == 0 and left_join_hot(headers, groups.withColumn("w", F.lit(1)), "h").count() == 3
+
+
 def test_left_join_spread_keeps_rows_without_key(spark):
     facts = spark.createDataFrame([(n, n % 7 if n % 3 else None) for n in range(300)], "id INT, parent INT")
     lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 7, 2)], "pk INT, v STRING")

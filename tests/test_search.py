@@ -1,11 +1,13 @@
 """The search with one parameter at a time, against its SQL, and properties of its pages."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 
 from compare import normal
-from pactlens.plans.search import SearchRequest, header_candidates, page_rows, search_agreements
+from pactlens.plans import search
+from pactlens.plans.search import PagedSearch, SearchRequest, header_candidates, page_rows, search_agreements
 from pactlens.queries.measuring import AS_OF_DATE, NOT_SOTO_SQL, period_sql, search_sql
 from pactlens.queries.registry import portable, with_standins
 from pactlens.schemas import SEARCH_COLUMNS, TABLES
@@ -62,8 +64,9 @@ def test_one_parameter(tables, duck, case):
 
 
 def test_requests_without_result_set(tables):
-    assert search_agreements(tables, SearchRequest(**{**BASE, "incentive_id": 5})) is None
-    assert search_agreements(tables, SearchRequest(**{**BASE, "is_product_level": "Y"})) is None
+    for parameters in ({"incentive_id": 5}, {"is_product_level": "Y"}, {"product_code": None}):
+        result = search_agreements(tables, SearchRequest(**{**BASE, **parameters}))
+        assert tuple(result.columns) == SEARCH_COLUMNS and result.count() == 0
 
 
 @pytest.mark.parametrize(
@@ -106,3 +109,47 @@ def test_result_from_parquet_tables_and_pushdown(spark, tables, folder, tmp_path
     for text in ("EqualTo(sales_product_code,PLB)", "EqualTo(customer_type,CORP)", "GreaterThanOrEqual(created_date"):
         assert text in pushed
     assert "promo_code" not in pushed.split("ReadSchema")[1]
+
+
+def test_later_pages_count_nothing(spark, tables, monkeypatch):
+    """Page 2 of a request reuses the rank index of page 1."""
+    counted = []
+    original = search.rank_of_values
+    monkeypatch.setattr(search, "rank_of_values", lambda *args: counted.append(1) or original(*args))
+    request = SearchRequest(**{**BASE, "product_code": "OTHER", "page_size": 40})
+    pages = PagedSearch(tables, request)
+    first, second = pages.page(1).collect(), pages.page(2).collect()
+    assert len(counted) == 1 and first and second
+    for number, got in ((1, first), (2, second)):
+        want = search_agreements(tables, SearchRequest(**{**BASE, "product_code": "OTHER", "page_size": 40, "page_number": number}))
+        assert sorted(map(str, got)) == sorted(map(str, want.collect()))
+    assert PagedSearch(tables, SearchRequest(**{**BASE, "incentive_id": 5})).page(1).count() == 0
+
+
+def test_each_table_of_the_rule_chain_is_read_once(tables):
+    """Rules, periods, slabs and what-ifs of a page: one read each, for header and group facts together."""
+    read = Counter()
+
+    def load(name):
+        read[name] += 1
+        return getattr(tables, name)
+
+    class Counted:
+        spark = tables.spark
+
+        def __getattr__(self, name):
+            return load(name)
+
+    counted = Counted()
+    request = SearchRequest(**{**BASE, "product_code": "PLB", "page_size": 40})
+    page = page_rows(tables, request)
+    chain = search.rule_chain(counted, search.PageScope(page), with_groups=True)
+    search.header_facts(tables, search.PageScope(page), chain, tables.inc_agreement_group)
+    search.group_facts(tables, search.PageScope(page), chain)
+    assert {name: read[name] for name in ("inc_rule_comp_hdr", "inc_rule_comp_period", "inc_rule_comp_value", "inc_rule_comp_whatif", "inc_models", "inc_types", "inc_payout_types")} == dict.fromkeys(
+        ("inc_rule_comp_hdr", "inc_rule_comp_period", "inc_rule_comp_value", "inc_rule_comp_whatif", "inc_models", "inc_types", "inc_payout_types"), 1
+    )
+    rules = {r.rule_comp_hdr_id for r in chain.rules.collect()}
+    headers = {r.inc_hdr_id for r in page.collect()}
+    assert {r.rule_comp_hdr_id for r in chain.of_headers.collect()} == {r.rule_comp_hdr_id for r in tables.inc_rule_comp_hdr.collect() if r.rule_header_id in headers}
+    assert rules >= {r.rule_comp_hdr_id for r in chain.whatifs.collect()}
