@@ -13,10 +13,12 @@ A window can only agree with a template in a minimum that one of its own shingle
 some template are known, so minima are computed for windows around these hashes alone; all others cannot meet.
 
 Everything is DataFrame functions: shingle hashes, minima of array slices, an equi-join on (span, order, minimum) with the
-templates' bands. Templates are an argument, a list of the driver's, which bounds what is broadcast.
+templates' bands. Templates are an argument, a list of the driver's; their bands and shingles are counted, and broadcast up to
+MOST_KEYS and MOST_SHINGLES only.
 
 Defined results: null and empty texts hold no license. One row per document row id and template whose containment reaches
 `containment`, with that share; repeated rows give repeated results. A template without words never matches. No rows give no rows.
+A very long text is one array of hashes in one row; what holds no telling hash goes no further. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +30,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.llm.license_texts import TEMPLATES
 from pactlens.session import materialize
 
-#: Short license notices as they appear at the head or foot of documents.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
 SHINGLE, WINDOW, ORDERS = 5, 32, 16
+MOST_KEYS, MOST_SHINGLES = 200_000, 1_000_000  # of templates, up to which they are broadcast
 
 
 def words(text: Column) -> Column:
@@ -75,7 +72,7 @@ def _windows(first: Column, last: Column, hashes: Column, span: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda s: F.slice(hashes, s, span)))
 
 
-def scan(documents: DataFrame, notices: Mapping[str, str] = NOTICES, containment: float = 0.8, orders: int = ORDERS) -> DataFrame:
+def scan(documents: DataFrame, notices: Mapping[str, str] = TEMPLATES, containment: float = 0.8, orders: int = ORDERS) -> DataFrame:
     """doc_id, license and containment of each license found in each row."""
     spark = documents.sparkSession
     templates: dict[tuple[int, int], list[tuple[str, str]]] = {}
@@ -96,7 +93,10 @@ def scan(documents: DataFrame, notices: Mapping[str, str] = NOTICES, containment
         )
         windows = functools.reduce(DataFrame.unionByName, [cut(known, span) for span in spans])
         keys = windows.select("license", "span", F.explode(bands(F.col("part"), orders)).alias("b")).select("license", "span", "b.band", "b.low").distinct()
-        minima = sorted({row.low ^ _mask(row.band) for row in keys.collect()})  # at most templates x windows x orders
+        rows = keys.collect()  # at most templates x windows x orders
+        minima = sorted({row.low ^ _mask(row.band) for row in rows})
+        shingles = sum(max(1, _word_count(text)) for _, text, _ in held)
+        sent = lambda frame, size, most: F.broadcast(frame) if size <= most else frame
         telling = lambda h: h.isin(minima)
         seen = base.select("doc_id", "row", shingle_hashes(F.col("w"), width).alias("h")).where(F.exists("h", telling))
         seen = materialize(seen, "license-shingles")  # rows with such a hash only
@@ -113,13 +113,13 @@ def scan(documents: DataFrame, notices: Mapping[str, str] = NOTICES, containment
         found = (
             met.select("row", "span", F.explode(bands(F.col("part"), orders)).alias("b"))
             .select("row", "span", "b.band", "b.low")
-            .join(F.broadcast(keys), ["span", "band", "low"])
+            .join(sent(keys, len(rows), MOST_KEYS), ["span", "band", "low"])
             .select("row", "license")
             .distinct()
         )
         part = (
             found.join(seen, "row")
-            .join(F.broadcast(known.select("license", "t")), "license")
+            .join(sent(known.select("license", "t"), shingles, MOST_SHINGLES), "license")
             .select("doc_id", "license", (F.size(F.array_intersect("h", "t")) / F.size(F.array_distinct("t"))).alias("containment"))
             .where(F.col("containment") >= containment)
         )

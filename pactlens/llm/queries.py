@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import bpe, conversation_repair, fill_in_middle, jaccard_join, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
+from pactlens.llm import bpe, conversation_repair, fill_in_middle, jaccard_join, license_scan, license_texts, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filter
 from pactlens.llm.common import table
 from pactlens.session import scratch_path
 
@@ -91,7 +91,29 @@ QUERIES = {
     "op13_jaccard_join": op13_jaccard_join,
 }
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENSE_VALUES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in license_texts.TEMPLATES.items())
+
 ORACLES = {
+    "op4_license_scan": f"""
+WITH templates(license, notice) AS (VALUES {LICENSE_VALUES}),
+cut_templates AS (SELECT license, list_filter(string_split_regex(lower(notice), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '') AS words FROM templates),
+wanted AS (
+    SELECT DISTINCT license, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+    FROM cut_templates
+),
+sizes AS (SELECT license, count(*) AS n FROM wanted GROUP BY license),
+cut AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '') AS words FROM documents),
+held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM cut WHERE len(words) >= 5)
+SELECT h.doc_id, w.license, CAST(count(*) AS DOUBLE) / any_value(s.n) AS containment
+FROM held h JOIN wanted w USING (shingle) JOIN sizes s USING (license)
+GROUP BY h.doc_id, w.license HAVING count(*) >= 0.8 * any_value(s.n)
+""",
     "op2_topk_search": """
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

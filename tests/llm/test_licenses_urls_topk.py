@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.llm import license_scan, topk, url_filter
+from pactlens.llm import license_scan, license_texts, topk, url_filter
 from pactlens.llm.common import reach_package
 
 
@@ -18,7 +18,7 @@ def shingles(text, width=5):
 
 def test_licenses(make_documents, corpus):
     long_notice = " ".join(f"term{n}" for n in range(120))
-    notices = license_scan.NOTICES | {"LONG": long_notice, "SHORT": "All rights reserved", "NONE": " .. "}
+    notices = license_texts.NOTICES | {"LONG": long_notice, "SHORT": "All rights reserved", "NONE": " .. "}
     cut = long_notice.split()
     rows = corpus + [
         (900, None), (901, ""), (902, "licensed UNDER the apache license; version 2.0"), (903, long_notice), (903, long_notice), (904, "x " + " ".join(cut[:110]) + " y"),
@@ -39,6 +39,33 @@ def test_licenses(make_documents, corpus):
     assert license_scan.scan(make_documents([])).count() == 0
 
 
+def test_altered_bodies(make_documents):
+    """Whole and altered bodies inside other text, around the threshold, against plain containment."""
+    draw = random.Random(12)
+    rows = [(n, "plain prose without any terms " * 3) for n in range(3)]
+    for name, body in license_texts.BODIES.items():
+        tokens = body.split()
+        for changes in (0, 1, 2, len(tokens) // 40, len(tokens) // 25):
+            altered = list(tokens)
+            for _ in range(changes):
+                at = draw.randrange(len(altered))
+                altered[at : at + draw.randrange(2)] = [f"w{draw.randrange(100)}"] * draw.randrange(2)
+            filler = [f"q{draw.randrange(5000)}" for _ in range(draw.randrange(400))]
+            at = draw.randrange(len(filler) + 1)
+            rows.append((len(rows), " ".join([*filler[:at], "/*", *altered, "*/", *filler[at:]])))
+        rows.append((len(rows), " ".join(tokens[: len(tokens) // 2])))
+    got = sorted((r.doc_id, r.license, round(r.containment, 6)) for r in license_scan.scan(make_documents(rows)).collect())
+    want = []
+    for doc_id, text in rows:
+        held = shingles(text)
+        for name, notice in license_texts.TEMPLATES.items():
+            mine = shingles(notice)
+            if len(mine & held) >= 0.8 * len(mine):
+                want.append((doc_id, name, round(len(mine & held) / len(mine), 6)))
+    assert got == sorted(want) and len(want) > 2 * len(license_texts.BODIES)
+    assert {name for _, name, _ in want} >= set(license_texts.BODIES)
+
+
 def plain_verdict(url, rules):
     found = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
     host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), found[1]), found[2]) if found else ("", "")

@@ -11,7 +11,7 @@ NATIVE = ("op4_license_scan", "op9_quality_rules")
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
