@@ -34,6 +34,37 @@ def set_where_in(df: DataFrame, key: str, keys: DataFrame, **changes) -> DataFra
     return set_where(flagged, F.col("is_target") == "Y", **changes).drop("is_target")
 
 
+def update_files(spark: SparkSession, path: str, target: str, key: str, keys: DataFrame, **changes) -> DataFrame:
+    """UPDATE ... WHERE key IN (keys) on a stored table, file by file: only files that hold a matching key are read whole
+    and rewritten, to the new folder `target`; all others stay as they are.
+
+    Returns the table's files with their state: kept, replaced (to be dropped by the caller) or new. What passes
+    through the driver are names of files.
+    """
+    table = spark.read.parquet(path)
+    placed = table.select(key, F.col("_metadata.file_path").alias("file"))
+    touched = [row.file for row in placed.join(keys.select(key).distinct(), key, "left_semi").select("file").distinct().collect()]
+    new: list[str] = []
+    if touched:
+        held = spark.read.option("basePath", path).schema(table.schema).parquet(*touched)
+        set_where_in(held, key, keys, **changes).select(table.columns).write.parquet(target)
+        new = spark.read.parquet(target).inputFiles()
+    replaced = {_plain(name) for name in touched}
+    states = [(name, "replaced" if _plain(name) in replaced else "kept") for name in table.inputFiles()] + [(name, "new") for name in new]
+    return spark.createDataFrame(states, "file string, state string")
+
+
+def _plain(uri: str) -> str:
+    """A file's name whichever way its scheme is written."""
+    return uri.split(":", 1)[-1].lstrip("/")
+
+
+def read_files(spark: SparkSession, files: DataFrame, like: DataFrame) -> DataFrame:
+    """The table made of the files that `update_files` kept or wrote, in the columns of `like`."""
+    names = [row.file for row in files.where("state <> 'replaced'").collect()]
+    return spark.read.schema(like.schema).parquet(*names) if names else like.where(F.lit(False))
+
+
 def reject_customers(leads: DataFrame, customers: DataFrame, customer_codes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Reject all leads of the named customers and inactivate the customers; both tables rewritten from one key set."""
     named = F.col("customer_code").isin(list(customer_codes))

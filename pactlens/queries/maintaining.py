@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pactlens.operators import maintenance
 from pactlens.queries.registry import big, query, stamp
+from pactlens.session import scratch_path
 
 COPIED = f"created_by, {stamp('created_date')}, last_modified_by, {stamp('last_modified_date')}, subscriber_code"
 ERROR_COLUMNS = f"module_code, error_code, error_warning_ind, error_description, {COPIED}"
@@ -33,6 +34,20 @@ def update_in_subquery(t):
     return maintenance.set_where_in(t.lead_header, "customer_profile_id", keys, status="REJECTED")
 
 
+@query(
+    "update_by_file",
+    """SELECT lead_id, customer_profile_id, CASE WHEN customer_profile_id IN (SELECT customer_profile_id FROM customer_profile
+        WHERE customer_code IN ('CC17', 'CC4')) THEN 'REJECTED' ELSE status END AS status FROM lead_header""",
+)
+def update_by_file(t):
+    """The update on a stored table whose files lie in ranges of the customer: only files with a match are rewritten."""
+    stored, target = scratch_path(t.spark, "leads"), scratch_path(t.spark, "leads-rewritten")
+    t.lead_header.repartitionByRange(16, "customer_profile_id").write.parquet(stored)
+    keys = t.customer_profile.where(F.col("customer_code").isin("CC17", "CC4")).select("customer_profile_id")
+    files = maintenance.update_files(t.spark, stored, target, "customer_profile_id", keys, status="REJECTED")
+    return maintenance.read_files(t.spark, files, t.spark.read.parquet(stored))
+
+
 @query(
     "update_by_key",
     f"""SELECT {ERROR_COLUMNS.replace('error_description', "CASE WHEN error_code = 'E75' THEN 'Address is invalid.' ELSE error_description END AS error_description")}
