@@ -10,7 +10,8 @@ A cut almost always lies between a word and the blank after it, so fragments are
 before them, and repeat. A worker remembers the ids of a bounded number of fragments, and unknown ones are
 encoded in bulk by the tokenizer library. Decoding puts the tokens' bytes end to end, and stands in U+FFFD for what is not UTF-8.
 
-Defined results: a null text is empty and has no ids. Repeated rows stay repeated, extra columns are not read.
+Defined results: a null text is empty and has no ids. Repeated rows stay repeated, extra columns are not read. A very long
+text is encoded by one task, which holds its fragments; an empty table gives an empty result.
 """
 
 from __future__ import annotations

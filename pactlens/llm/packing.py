@@ -12,7 +12,9 @@ not combine in another; the sequences of its shards are final. Work and memory o
 shuffled, no text.
 
 Defined results: a null text is an empty document, which is its end id alone. Repeated rows, or rows without a doc_id, are
-documents of their own. An empty table gives no sequences.
+documents of their own. An empty table gives no sequences. A very long text is encoded whole by one task and cut there. Other
+columns of documents are ignored; columns of pieces are carried through `pack`, but for `sequence_id` and `offset`, which
+its results replace.
 """
 
 from __future__ import annotations
@@ -115,6 +117,12 @@ def _shard_packer(capacity: int, round_number: int):
 
 def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """`pieces` (with a column length, 1 to `capacity`) with sequence_id and offset added."""
+    taken = [name for name in pieces.columns if name.lower() in ("row", "shard", "gap", "sequence_id", "offset")]
+    if taken:  # set aside while the work uses these names
+        aside = {name: f"carried_{n}_{name}" for n, name in enumerate(taken)}
+        back = {new: name for name, new in aside.items() if name.lower() not in ("sequence_id", "offset")}
+        packed = pack(pieces.withColumnsRenamed(aside), capacity, shard_pieces).drop(*[new for new in aside.values() if new not in back])
+        return packed.withColumnsRenamed(back)
     names = pieces.columns
     held = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     # A full piece is a sequence by itself; its number is below zero.

@@ -12,7 +12,8 @@ text, followed by an exact comparison of the windows that collided: time grows a
 
 Defined results: a null text has no words and no lines; null and unlisted languages share one reference. A text of
 fewer words than `min_words` is rejected by the base rules and its distances play no part; the distances' own limits
-widen for short texts. Repeated rows stay repeated.
+widen for short texts. Repeated rows stay repeated. A very long text is one row of arrays, up to 2**28 words. An empty table
+gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

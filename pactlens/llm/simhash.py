@@ -8,8 +8,8 @@ that differ in at most d bits agree on all bits of at least (blocks - d) blocks.
 chosen bits move to the front of the code, and the codes are sorted by Gray rank, which puts codes of few differences
 side by side. The chosen bits are the top node of the hierarchy: only codes below the same top node are compared, and every
 close pair is below the same top node for some choice. Below it, runs of the order form leaves, and runs inside a leaf form
-smaller nodes. A node stores the bits all of its members share (mask and pattern). The differences between two nodes'
-shared bits add to those of all members, so a pair of nodes beyond d is left out whole.
+smaller nodes. A node stores the bits all of its members share (mask and pattern). Where two nodes' shared bits differ, so do
+all of their members: pairs of leaves with more than d such bits are left out whole, then pairs of nodes inside the others.
 
 Spark's range partitions hold the order. A top node that spans several leaves (a hot one, or one across a partition's edge)
 gives pairs of leaves, pruned by their patterns, and each surviving pair is compared by a task of its own: no group is
@@ -17,7 +17,8 @@ gathered as a whole, none is capped, and each leaf is of bounded size. A compari
 rather than all pairs: what is reachable stays the same. Components come from star contraction with a written table per round.
 
 Defined results: null texts count as empty. A null doc_id keeps its row and never names a component unless all members
-lack one. Repeated rows stay repeated. An empty table gives an empty result.
+lack one. Repeated rows stay repeated. A very long text's shingles are hashed in steps by one task, which holds its words.
+An empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ queries of a block, is one packed row; rows and columns of the block matrix are
 
 Defined results: vectors that are null, hold a null or non-finite component, or lack an id take no part. A shorter vector
 counts as padded with zeros. A query id on several rows gives the results of each row; no row of its own id is a candidate.
-Ties go to the smaller id. Components and scores beyond 64 bits stop at the ends of a long. No rows give no rows.
+Ties go to the smaller id. Components and scores beyond 64 bits stop at the ends of a long. No rows give no rows. Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ key are found as the pointer runs up to it. The rules are an argument, a list of
 Defined results: a null url, or one without `://`, has an empty host and path. A rule fits when its host equals the
 url's host or is a parent domain, and the url's path starts with the rule's path. Among fitting rules the one with most
 characters (host and path together) wins, then the one with the longer host, then a block before an allow. With no
-fitting rule the verdict is the `default`. A rule without a host covers every host. Repeated rows stay repeated; an empty table gives an empty result.
+fitting rule the verdict is the `default`. A rule without a host covers every host. Repeated rows stay repeated; an empty table gives an empty result; a very long url is
+one key; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

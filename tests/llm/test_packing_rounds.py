@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pactlens.llm import packing
 
@@ -31,3 +32,17 @@ def test_sequence_ids_of_late_rounds():
     seen = [packing.sequence_ids(r, s, np.array([0, 1, (1 << 24) - 1])) for r in (0, 7, 8, 200, 1023) for s in (0, 1, (1 << 29) - 1)]
     flat = np.concatenate(seen)
     assert len(set(flat.tolist())) == len(flat) and flat.min() >= 0 and (np.diff(flat) > 0).all()
+
+
+def test_clashing_columns_of_pieces(spark, make_documents):
+    make_documents([])
+    frame = spark.range(300).select((F.col("id") % 90 + 1).alias("length"), F.col("id").alias("row"), F.lit("s").alias("shard"), F.lit(9).alias("gap"), F.lit(1).alias("Offset"), F.lit(2).alias("sequence_id"))
+    packed = packing.pack(frame, 128, shard_pieces=50)
+    assert sorted(packed.columns) == sorted(["length", "row", "shard", "gap", "sequence_id", "offset"])
+    rows = packed.collect()
+    assert sorted((r["row"], r.length, r.shard, r.gap) for r in rows) == [(n, n % 90 + 1, "s", 9) for n in range(300)]
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in fill.values():
+        assert [o for o, _ in sorted(held)] == [sum(x for _, x in sorted(held)[:n]) for n in range(len(held))]

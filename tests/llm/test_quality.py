@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,65 @@ def test_likelihood_gradient_leads_to_ordered_grades():
     assert ((0 <= tails) & (tails <= 1)).all() and (tails[:, 0] >= tails[:, 1]).all()
 
 
+def plain_features(text):
+    """Distinct buckets of a text, word by word."""
+    found = set()
+    for word in {w.strip(b".,;:!?\"'()[]") for w in text.encode().lower().split()}:
+        decoded = word.decode()
+        parts = {b"w" + word} | {b"p" + decoded[:n].encode() for n in (4, 5) if len(decoded) > n}
+        found |= {quality_classifier.SHAPE + zlib.crc32(part) % (2**quality_classifier.BITS - quality_classifier.SHAPE) for part in parts}
+    return found
+
+
+def test_scores_against_a_plain_version(spark, folder, corpus):
+    """Score, tails, expected grade and verdict of every document, from the model's numbers in plain Python."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    graded = labels.select("doc_id", quality_classifier.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = quality_classifier.train(documents, graded)
+    got = {r.doc_id: r for r in quality_classifier.classify(documents, labels).collect()}
+    assert len(got) == len(corpus)
+    for doc_id, text in corpus:
+        words = (text or "").encode().lower().split()
+        distinct = {w.strip(b".,;:!?\"'()[]") for w in words}
+        # A word's buckets count once a word, so buckets that words share count once for each of them.
+        held = [float(model.weights[f]) for word in distinct for f in quality_classifier.word_features(word)]
+        known = sum(w != 0 for w in held)
+        shape = sum(float(model.weights[f]) for f in quality_classifier.shape_features((text or "").encode(), words, len(distinct)))
+        score = sum(held) * (1 + known) ** -0.25 + shape
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds.tolist()]
+        row = got[doc_id]
+        assert row.tail_probability == pytest.approx(tails[1], abs=1e-4) and row.expected_grade == pytest.approx(sum(tails), abs=2e-4)
+        assert row.kept == (row.tail_probability >= 0.5)
+    assert plain_features("Word, words!") == {f for w in (b"word", b"words") for f in quality_classifier.word_features(w)}
+
+
+def test_fit_is_a_minimum_of_the_plain_likelihood():
+    draw = np.random.default_rng(4)
+    base, rows, grades = quality_classifier.SHAPE, [], []
+    for _ in range(200):
+        grade = int(draw.integers(0, 3))
+        rows.append([base + n for n in range(12) if draw.random() < (0.6 if n % 3 == grade else 0.3)] + [int(draw.integers(0, 8))])
+        grades.append(grade)
+    model = quality_classifier.fit(rows, np.array(grades), 3, fewest=1, ridge=0.3, steps=300)
+
+    def loss(weights, thresholds):
+        total = 0.15 * float((weights**2).sum())
+        bounds = [-60.0, *thresholds, 60.0]
+        for row, grade in zip(rows, grades):
+            words = [f for f in row if f >= base]
+            score = sum(weights[f] for f in words) * (1 + len(words)) ** -0.25 + sum(weights[f] for f in row if f < base)
+            total -= math.log(1 / (1 + math.exp(score - bounds[grade + 1])) - 1 / (1 + math.exp(score - bounds[grade])))
+        return total
+
+    weights, thresholds = model.weights.astype(float), model.thresholds
+    least = loss(weights, thresholds)
+    for _ in range(20):
+        step = np.zeros_like(weights)
+        step[[base + int(draw.integers(0, 12)), int(draw.integers(0, 8))]] = draw.normal(size=2) * 0.1
+        assert loss(weights + step, thresholds) > least - 0.02
+        assert loss(weights, thresholds + draw.normal(size=2) * 0.05) > least - 0.02
+
+
 def test_classifier_edges(spark, make_documents):
     rows = [(n, f"good words here {n}") for n in range(20)] + [(100 + n, "idiot words here") for n in range(20)] + [(500, None), (501, ""), (None, "x"), (501, "")]
     labels = spark.createDataFrame(
