@@ -310,7 +310,11 @@ def standin_sql(d: Dialect) -> dict[str, tuple[str, str]]:
             FROM customer
             UNION ALL
             SELECT c_custkey, 'BILLING', 'Box ' || c_custkey, 'CT' || (c_custkey % 50), 'N' || c_nationkey, 'Y'
-            FROM customer WHERE c_custkey % 3 = 0""",
+            FROM customer WHERE c_custkey % 3 = 0
+            UNION ALL
+            SELECT c_custkey, 'LOCATION', 'Yard ' || c_custkey, CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 'CT' || (c_custkey % 77) END,
+                CASE WHEN c_custkey % 2 = 0 THEN 'N' || ((c_nationkey + 3) % 25) ELSE 'XX' END, 'Y'
+            FROM customer WHERE c_custkey % 5 = 0""",
         ),
         "account_subscriptions": (
             "customer",
