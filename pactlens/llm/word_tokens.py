@@ -4,7 +4,11 @@ Such a tokenizer never joins characters across white space, so a text's ids are
 Letters A-Z are lowered first, which lets more words repeat. The tokenizer composes (NFC) before it lowers, and some marks
 compose with a small letter but not with its capital; where a text holds such marks, only pure ASCII words are lowered here.
 A full stop or comma between an a-z letter and white space is a token of its own and is cut off first, which lets more
-words repeat. Words not yet known are encoded by the tokenizer itself, in bulk.
+words repeat. Words not yet known are encoded by the tokenizer itself, in bulk: many in one text, with a mark between them that
+is one id on its own; where the ids hold another number of marks than were put there, word by word.
+
+A worker remembers words in two generations. When the young one is full it becomes the old one, whose words come back as
+they are met, so that frequent words are never learned again.
 """
 
 from __future__ import annotations
@@ -12,13 +16,15 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-KNOWN = 1_000_000  # words a worker remembers
+KNOWN = 700_000  # words of a generation; a worker remembers two
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
-_BULK, _PART = 512, 1 << 20
+_BULK, _PART = 4096, 1 << 20
+_MARKS = b"~^|"  # one of these stands between words
 
 
 class WordEncoder:
@@ -35,6 +41,10 @@ class WordEncoder:
         if self._tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 8 * width:
             raise ValueError(f"ids of {path} need more than {width} bytes")
         self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._mark, self._mark_id = next(
+            ((mark, found[1]) for mark in map(bytes, zip(_MARKS)) if len(found := self._ids([b"a " + mark + b" a"])[0]) == 3 and found[0] == found[2]), (b"", 0)
+        )
 
     def words(self, text: bytes) -> list[bytes]:
         if b"<|" in text:  # a special token's own case counts
@@ -57,18 +67,38 @@ class WordEncoder:
 
     def _joined(self, lists: list[list[bytes]]) -> Iterator[bytes]:
         if len(self._known) > KNOWN:
-            self._known.clear()
-        self._learn(set().union(*lists))
+            self._known, self._old = {}, self._known
+        new = []
+        for word in set().union(*lists).difference(self._known):
+            ids = self._old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self._known[word] = ids
+        self._learn(new)
         for words in lists:
             yield b"".join(map(self._known.__getitem__, words))
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self._known))
-        encode, kind = self._tokenizer.encode_batch_fast, self.kind
-        for n in range(0, len(new), _BULK):
-            part = new[n : n + _BULK]
-            for word, found in zip(part, encode([word.decode() for word in part], add_special_tokens=False)):
-                self._known[word] = np.array(found.ids, kind).tobytes()
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [found.ids for found in self._tokenizer.encode_batch_fast([text.decode() for text in texts], add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        # A special token, a combining mark or the mark itself could reach over a word's edge.
+        odd = [word for word in words if self._mark in word or b"<|" in word or not word.isascii() and unicodedata.combining(word.decode()[0])]
+        usual = words if not odd else list(set(words).difference(odd))
+        for n in range(0, len(usual), _BULK):
+            part = usual[n : n + _BULK]
+            ids = np.array(self._ids([(b" " + self._mark + b" ").join(part)])[0], np.int64)
+            marks = np.flatnonzero(ids == self._mark_id)
+            if len(marks) != len(part) - 1:
+                odd += part
+                continue
+            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            begins, ends = [0, *(size * (marks + 1)).tolist()], [*(size * marks).tolist(), len(raw)]
+            self._known.update(zip(part, (raw[a:b] for a, b in zip(begins, ends))))
+        for n in range(0, len(odd), _BULK):
+            part = odd[n : n + _BULK]
+            self._known.update(zip(part, (np.array(ids, self.kind).tobytes() for ids in self._ids(part))))
 
 
 @functools.cache
