@@ -4,10 +4,13 @@ Vectors become whole numbers, floor(scale * x). Each vector carries its distance
 table). For a query q and a vector x, the largest |d(q, p) - d(x, p)| over pivots p is a lower bound of d(q, x), and
 <q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2 turns it into an upper bound of the score.
 
-Vectors are ordered by nearest pivot and cut into blocks of bounded size; a query is one of the rows of its home block, where
-it is answered first, so that its k-th score there is a floor for the final one. Then it meets every other block: it takes
-the candidates in the order of their bounds and stops at the first bound below its k-th score so far. Bounds are rounded up by
-a margin and equal ones are always evaluated, so nothing that could win or tie is left out: the result is exact.
+Vectors are ordered by nearest pivot and cut into blocks of bounded size, which keep the pivot table of their rows; a query is
+one of the rows of its home block, where it is answered first, so that its k-th score there, with its id, is a floor for the
+final one. Then it meets every other block. The block's range of distances to each pivot bounds all of its rows: where that
+bound is below the floors of all queries of a pack, the block's vectors are not even unpacked. Else a query takes the
+candidates in the order of their own bounds and stops at the first one below its k-th score so far. Bounds are rounded up by a
+margin and equal ones are evaluated; a score equal to the floor counts where its id is smaller. So nothing that could win is
+left out: the result is exact.
 
 The queries are a stated set, compared in blocks with all vectors. Neither side is gathered or broadcast: a block, or the
 queries of a block, is one packed row; rows and columns of the block matrix are grouped, and a task holds one cell.
@@ -33,8 +36,9 @@ from pactlens.session import materialize
 
 BLOCKS, PACKS = 8, 32  # a task compares about so many blocks with so many packs of queries
 FOUND = "query_row long, query_id long, vec_id long, score long"
-_BLOCK = "block long, ids binary, vecs binary"
-_PACK = "pack long, rows binary, query_ids binary, query_vecs binary, floors binary"
+_BLOCK = "block long, ids binary, vecs binary, squares binary, dist binary"
+_PACK = "pack long, rows binary, query_ids binary, query_vecs binary, query_squares binary, query_dist binary, floors binary, floor_ids binary"
+NO_FLOOR = 2**63 - 1  # every id counts at such a floor
 
 
 def whole_numbers(vectors: DataFrame, vector: str = "embedding", row_id: str = "vec_id", scale: int = 64) -> DataFrame:
@@ -78,25 +82,42 @@ def score_bounds(square: float, dist: np.ndarray, squares: np.ndarray, table: np
     return (square + squares - gap * gap) / 2 + 1e-9 * (square + squares) + 1e-9
 
 
-def best_of_block(query, own_id, floor, bounds, ids, values, k):
-    """Ids and scores of the k best rows with a score of at least `floor`, taken in the order of their bounds."""
+def block_bounds(q_squares: np.ndarray, q_dist: np.ndarray, squares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Upper bounds of each query's scores with any row of a block, from the block's range of distances to each pivot."""
+    if not len(table):
+        return np.full(len(q_squares), -np.inf)
+    low, high = table.min(axis=0, initial=np.inf), table.max(axis=0, initial=0)
+    gap = np.maximum(low - q_dist, q_dist - high).max(axis=1, initial=0)
+    gap = np.maximum(gap * (1 - 1e-9) - 1e-9 * (q_dist.max(axis=1, initial=0) + high.max(initial=0)), 0)
+    most = squares.max()
+    return (q_squares + most - gap * gap) / 2 + 1e-9 * (q_squares + most) + 1e-9
+
+
+def best_of_block(query, own_id, floor, floor_id, bounds, ids, values, k):
+    """Ids and scores of the k best rows above a floor (score, id), best first, taken in the order of their bounds."""
     candidates = np.flatnonzero((bounds >= floor) & (ids != own_id))
     candidates = candidates[np.argsort(-bounds[candidates])]
     best_ids, best, at, step = ids[:0], values[:0, 0] if values.shape[1] else np.zeros(0), 0, 2 * k
     while at < len(candidates) and bounds[candidates[at]] >= floor:
         chunk = candidates[at : at + step]
         scores = values[chunk] @ query
-        kept = scores >= floor
+        kept = (scores > floor) | ((scores == floor) & (ids[chunk] < floor_id))
         best_ids, best = np.concatenate([best_ids, ids[chunk[kept]]]), np.concatenate([best, scores[kept]])
-        if len(best) > k:
+        if len(best) >= k:
             top = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[top], best[top]
-        if len(best) == k:
-            floor = max(floor, best.min())
+            floor, floor_id = higher(floor, floor_id, best, best_ids)
         at, step = at + step, 2 * step
     return best_ids, best
 
 
+def higher(floor, floor_id, best, best_ids) -> tuple[float, int]:
+    """The floor, or the last of k best rows where that is higher."""
+    last = _below(best[-1])
+    last_id = int(best_ids[-1]) if last == best[-1] else NO_FLOOR
+    return (last, last_id) if last > floor or (last == floor and last_id < floor_id) else (floor, floor_id)
+
+
 class Measure:
     """How vectors are kept and multiplied, and their pivot table."""
 
@@ -131,15 +152,16 @@ def _found(rows, query_ids, ids, scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([longs(rows), longs(query_ids), longs(ids), longs(_as_long(scores))], ["query_row", "query_id", "vec_id", "score"])
 
 
-def _search(measure: Measure, k: int, rows, query_ids, queries, floors, ids, values) -> Iterator[tuple]:
-    """(position, ids, scores) of each query with results in this block."""
-    squares, table = measure.shape(values)
-    q_squares, q_dist = measure.shape(queries)
-    for n in range(len(rows)):
-        bounds = score_bounds(q_squares[n], q_dist[n], squares, table)
-        if len(bounds) and bounds.max() >= floors[n]:
-            got, scores = best_of_block(queries[n], query_ids[n], floors[n], bounds, ids, values, k)
-            yield n, got, scores
+def _search(k: int, asked: dict, block: dict, values) -> Iterator[tuple]:
+    """(position, ids, scores, best first) of each query with results in this block; `values` unpacks the block's vectors."""
+    met = np.flatnonzero(block_bounds(asked["squares"], asked["dist"], block["squares"], block["dist"]) >= asked["floors"])
+    if not len(met):
+        return
+    vectors = values()
+    for n in met.tolist():
+        bounds = score_bounds(asked["squares"][n], asked["dist"][n], block["squares"], block["dist"])
+        if len(bounds) and bounds.max() >= asked["floors"][n]:
+            yield n, *best_of_block(asked["vectors"][n], asked["ids"][n], asked["floors"][n], asked["floor_ids"][n], bounds, block["ids"], vectors, k)
 
 
 def _tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -166,45 +188,54 @@ def _home(batches, measure: Measure, k: int, size: int) -> Iterator[pa.RecordBat
     for part in _tables(batches, size):
         values = measure.unpack(measure.pack(padded(part["v"].to_pylist(), measure.width)), part.num_rows)
         ids = part["vec_id"].to_numpy()
-        asked = np.flatnonzero(part["asked"].to_numpy(zero_copy_only=False))
-        rows, floors = number * 4096 + asked, np.full(len(asked), -np.inf)
+        squares, dist = measure.shape(values)
+        own = np.flatnonzero(part["asked"].to_numpy(zero_copy_only=False))
+        rows = number * 4096 + own
+        asked = {"ids": ids[own], "vectors": values[own], "squares": squares[own], "dist": dist[own]}
+        asked |= {"floors": np.full(len(own), -np.inf), "floor_ids": np.full(len(own), NO_FLOOR)}
+        block = {"ids": ids, "squares": squares, "dist": dist}
         answers = [(rows[:0], ids[:0], ids[:0], [])]
-        for n, got, scores in _search(measure, k, rows, ids[asked], values[asked], floors, ids, values):
-            answers.append((np.full(len(got), rows[n]), np.full(len(got), ids[asked[n]]), got, scores))
+        for n, got, scores in _search(k, asked, block, lambda held=values: held):
+            answers.append((np.full(len(got), rows[n]), np.full(len(got), ids[own[n]]), got, scores))
             if len(got) == k:
-                floors[n] = _below(min(scores))
+                asked["floors"][n], asked["floor_ids"][n] = higher(-np.inf, NO_FLOOR, scores, got)
         found = _found(*(np.concatenate([a[c] for a in answers]) for c in range(4)))
         home = pa.array([found.to_struct_array().to_pylist()], pa.list_(found.to_struct_array().type))
-        binary = lambda x: pa.array([x], pa.binary())
+        binary = lambda x: pa.array([np.ascontiguousarray(x).tobytes() if isinstance(x, np.ndarray) else x], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [
-                longs([number]), binary(np.ascontiguousarray(ids).tobytes()), binary(measure.pack(values)), longs([number]), binary(rows.tobytes()),
-                binary(ids[asked].tobytes()), binary(measure.pack(values[asked])), binary(floors.tobytes()), home,
+                longs([number]), binary(ids), binary(measure.pack(values)), binary(squares), binary(dist), longs([number]), binary(rows), binary(ids[own]),
+                binary(measure.pack(values[own])), binary(squares[own]), binary(dist[own]), binary(asked["floors"]), binary(asked["floor_ids"]), home,
             ],
-            ["block", "ids", "vecs", "pack", "rows", "query_ids", "query_vecs", "floors", "home"],
+            [*(name.split()[0] for name in f"{_BLOCK}, {_PACK}".split(", ")), "home"],
         )
         number += 1
 
 
 def _away(left: pa.Table, right: pa.Table, measure: Measure, k: int) -> pa.Table:
     """One cell of the matrix: its packs of queries against its blocks, and the k best of the cell for each query."""
-    blocks = [(b["block"], np.frombuffer(b["ids"], np.int64), b["vecs"]) for b in left.to_pylist()]
+    whole = lambda raw, kind=np.float64: np.frombuffer(raw, kind)
+    blocks = []
+    for b in left.to_pylist():
+        ids = whole(b["ids"], np.int64)
+        blocks.append((b["block"], b["vecs"], {"ids": ids, "squares": whole(b["squares"]), "dist": whole(b["dist"]).reshape(len(ids), -1)}))
     answers = [(np.zeros(0, np.int64),) * 3 + ([],)]
     for pack in right.to_pylist():
-        rows, query_ids = np.frombuffer(pack["rows"], np.int64), np.frombuffer(pack["query_ids"], np.int64)
-        queries, floors = measure.unpack(pack["query_vecs"], len(rows)), np.frombuffer(pack["floors"]).copy()
+        rows, query_ids = whole(pack["rows"], np.int64), whole(pack["query_ids"], np.int64)
+        asked = {"ids": query_ids, "vectors": measure.unpack(pack["query_vecs"], len(rows)), "squares": whole(pack["query_squares"])}
+        asked |= {"dist": whole(pack["query_dist"]).reshape(len(rows), -1), "floors": whole(pack["floors"]).copy(), "floor_ids": whole(pack["floor_ids"], np.int64).copy()}
         best: dict[int, tuple] = {}
-        for block, ids, vecs in blocks:
-            if block == pack["pack"]:
+        for number, vecs, block in blocks:
+            if number == pack["pack"]:
                 continue  # answered at home
-            for n, got, scores in _search(measure, k, rows, query_ids, queries, floors, ids, measure.unpack(vecs, len(ids))):
+            for n, got, scores in _search(k, asked, block, partial(measure.unpack, vecs, len(block["ids"]))):
                 if n in best:
                     got, scores = np.concatenate([best[n][0], got]), np.concatenate([best[n][1], scores])
                     top = np.lexsort((got, -scores))[:k]
                     got, scores = got[top], scores[top]
                 best[n] = got, scores
                 if len(got) == k:
-                    floors[n] = max(floors[n], _below(scores.min()))
+                    asked["floors"][n], asked["floor_ids"][n] = higher(asked["floors"][n], asked["floor_ids"][n], scores, got)
         answers += [(np.full(len(got), rows[n]), np.full(len(got), query_ids[n]), got, scores) for n, (got, scores) in best.items()]
     return pa.Table.from_batches([_found(*(np.concatenate([a[c] for a in answers]) for c in range(4)))])
 
@@ -241,9 +272,9 @@ def top_k(
     wide, high = -(-count // PACKS), -(-count // BLOCKS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))
     group = lambda n: F.pmod(F.xxhash64("block"), F.lit(max(n, 1))).cast("int")
-    blocks = homes.select("block", "ids", "vecs", group(high).alias("row"), every(wide).alias("col"))
+    blocks = homes.select("block", "ids", "vecs", "squares", "dist", group(high).alias("row"), every(wide).alias("col"))
     asking = homes.where(F.length("rows") > 0)
-    packs = asking.select("pack", "rows", "query_ids", "query_vecs", "floors", every(high).alias("row"), group(wide).alias("col"))
+    packs = asking.select(*[name.split()[0] for name in _PACK.split(", ")], every(high).alias("row"), group(wide).alias("col"))
     away = blocks.groupBy("row", "col").cogroup(packs.groupBy("row", "col")).applyInArrow(partial(_away, measure=measure, k=k), FOUND)
 
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
