@@ -1,14 +1,16 @@
 """Token-id files: each document's ids compressed on its own with a dictionary that all documents share.
 
 A shared dictionary makes short documents small although each can be read alone. It is trained on the serialized ids of a
-bounded sample of documents (`dictionary_sample`), and every file names it by its hash.
+bounded sample of documents (`dictionary_sample`, a row of each id): up to PIECES pieces of PIECE_IDS ids of each, spread evenly
+over the whole document. Every file names it by its hash.
 
 File format (all numbers little-endian), one file per shard of ascending doc_ids:
 
-    magic  8 bytes, `PLTOKEN1`
+    magic  8 bytes, `PLTOKEN2`
     dictionary hash  32 bytes, SHA-256
     frames  one zstandard frame per document, of its ids as unsigned numbers of `width` bytes
-    index  per document: doc_id i64, first id's place in the shard u64, number of ids u64, offset of its frame u64, length u32
+    index  per document: doc_id i64, null doc_id u8 (1 if so), first id's place in the shard u64, number of ids u64, offset of
+           its frame u64, length u64
     tail  offset of the index u64, number of documents u64, width u8, magic again
 
 The dictionary itself is a file beside the shards, and a Parquet manifest lists the shards with the place of their first
@@ -19,7 +21,8 @@ Spark range-partitions the texts by doc_id, encodes each partition in order and
 first id is a running sum over the manifest, one row per shard.
 
 Defined results: a null text is empty and has the end id only. Rows without a doc_id come first, in no fixed order, and
-repeated ids stay repeated. An empty table gives an empty manifest.
+repeated ids stay repeated. A very long text is encoded and compressed whole, by one task. An empty table gives an empty
+manifest. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ from pyspark.sql import functions as F
 from pactlens.llm.common import ids_and_text, longs, texts
 from pactlens.llm.word_tokens import encoder
 
-MAGIC = b"PLTOKEN1"
-NO_ID = -(2**63)  # stands for a null doc_id in a file
-ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("offset", "<u8"), ("length", "<u4")])
+MAGIC = b"PLTOKEN2"
+PIECES, PIECE_IDS = 16, 512
+ENTRY = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("start", "<u8"), ("n", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 _TAIL = struct.Struct("<QQB8s")
 
 
@@ -58,26 +61,31 @@ def _uri(folder: str) -> str:
 
 def train_dictionary(documents: DataFrame, tokenizer: str, width: int = 2, dictionary_sample: int = 2000, size: int = 65_536, level: int = 3) -> bytes:
     """Dictionary from the ids of `dictionary_sample` documents, those with the lowest hashes of their ids; made by one task."""
-    chosen = ids_and_text(documents).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_sample)
-    # The ids are few by their bound; the second limit holds where an id is on many rows, and brings the texts to one task.
-    sample = ids_and_text(documents).join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(2 * dictionary_sample)
+    named = ids_and_text(documents).where("doc_id IS NOT NULL")
+    chosen = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_sample)  # bounded
+    found = named.join(F.broadcast(chosen), "doc_id")
+    sample = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text").repartition(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         for batch in batches:
-            parts += [ids[:_SAMPLE_BYTES] for ids in encoder(tokenizer, width).encode_all(texts(batch))]
+            for ids in encoder(tokenizer, width).encode_all(texts(batch)):
+                parts += spread(ids, PIECE_IDS * width, PIECES)
         parts.sort()
         try:
-            found = zstandard.train_dictionary(size, parts, level=level).as_bytes()
+            made = zstandard.train_dictionary(size, parts, level=level).as_bytes()
         except (zstandard.ZstdError, ValueError):
-            found = b"".join(parts)[-size:]  # too little to learn from: the ids themselves are the dictionary
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], ["dictionary"])
+            made = b"".join(parts)[-size:]  # too little to learn from: the ids themselves are the dictionary
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["dictionary"])
 
     row = sample.mapInArrow(train, "dictionary binary").first()
     return bytes(row.dictionary) if row else b""
 
 
-_SAMPLE_BYTES = 8192  # of a sampled document's ids, for training only
+def spread(ids: bytes, piece: int, most: int) -> list[bytes]:
+    """Pieces of `piece` bytes from the whole of `ids`: all of them, or `most` at even distances."""
+    count = -(-len(ids) // piece)
+    return [ids[piece * n : piece * (n + 1)] for n in (range(count) if count <= most else (k * count // most for k in range(most)))]
 
 
 class ShardWriter:
@@ -93,7 +101,7 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self._compressor.compress(ids)
         count = len(ids) // self._width
-        self._index.append((NO_ID if doc_id is None else doc_id, self._start, count, self._at, len(frame)))
+        self._index.append((doc_id or 0, doc_id is None, self._start, count, self._at, len(frame)))
         self._out.write(frame)
         self._at += len(frame)
         self._start += count
@@ -188,7 +196,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 for begin in range(0, len(shard.index), 1024):
                     rows = shard.index[begin : begin + 1024]
                     ids = [shard.ids(begin + n) for n in range(len(rows))]
-                    doc_ids = [None if x == NO_ID else x for x in rows["doc_id"].tolist()]
+                    doc_ids = [None if null else x for x, null in zip(rows["doc_id"].tolist(), rows["no_id"].tolist())]
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                     columns = [longs(doc_ids), longs(rows["start"].astype(np.int64) + start), longs(rows["n"].astype(np.int64)), longs(crc)]
                     if with_ids:

@@ -73,7 +73,7 @@ def test_sequences(make_documents):
 
 
 def test_token_files(spark, make_documents, library, corpus, tmp_path):
-    rows = corpus + [(1000 + n, text) for n, text in enumerate(ODD)] + [(1000, None), (None, "no id")]
+    rows = corpus + [(1000 + n, text) for n, text in enumerate(ODD)] + [(1000, None), (None, "no id"), (-(2**63), "least id"), (2**63 - 1, "largest")]
     folder = f"file://{tmp_path}/tokens"
     token_files.write(make_documents(rows, start=1, ids="x"), folder, PATH, shard_ids=20_000)
     got = token_files.read(spark, folder, with_ids=True).collect()
@@ -103,3 +103,22 @@ def test_marks_that_compose_with_small_letters_only(library):
     texts += [f"{letter}{chr(mark)} The End." for letter in "AHIJKSTWYZ" for mark in range(0x300, 0x370)]
     got = [np.frombuffer(ids, "<u2").tolist() for ids in WordEncoder(PATH).encode_all(t.encode() for t in texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_two_generations_of_words(library, corpus, monkeypatch):
+    from pactlens.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "KNOWN", 50)
+    monkeypatch.setattr(word_tokens, "_PART", 2000)
+    monkeypatch.setattr(word_tokens, "_BULK", 7)
+    texts = [text or "" for _, text in corpus] + ["a ~ b~c ^ | x~ ~~~ ~", "e ́x \u200d ́ ~", "\u00a0word\u2028two ~"]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in WordEncoder(PATH).encode_all(t.encode() for t in texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_dictionary_pieces_come_from_the_whole_document():
+    ids = bytes(range(256)) * 40
+    assert b"".join(token_files.spread(ids, 1000, 16)) == ids
+    few = token_files.spread(ids, 100, 16)
+    assert len(few) == 16 and all(len(x) == 100 for x in few) and ids.startswith(few[0]) and few[-1] in ids[-800:]
+    assert token_files.spread(b"", 100, 16) == []
