@@ -20,7 +20,8 @@ it looks up, drops pairs already connected, and counts common shingles of the re
 by signature; a signature with more than LEAF sets is cut along the distance to a pivot set (the one that shares most): sets
 linked to the pivot need no comparison with each other, and blocks whose distances differ by more than a link allows are
 not compared (Jaccard distance is a metric). So no task holds more than two blocks, no pairs are written, only links of a
-spanning forest. Components come from star contraction.
+spanning forest. Components come from star contraction. Sides that grow with the corpus are joined by sort and merge at every
+size, never broadcast.
 
 Defined results: a null text has no words; a null doc_id keeps its row and names a component only where all members lack one;
 repeated rows stay repeated; a very long text is hashed in blocks of a megabyte and its set is held by one task at a time; an
@@ -37,7 +38,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.common import ids_and_text, longs, signed, texts
@@ -153,11 +154,12 @@ def bands_of(size: int, percent: int) -> list[Band]:
     return [band for band in known[own::-1] if 100 * band.high >= percent * size]
 
 
+_SIGNATURE_BITS = 46  # signatures that agree by chance only cost a comparison
 _PLACES = 64  # a place is segment x 64 + how many bands below the own one
 
 
 def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (62 bits of a signature and a kind) and places of one set."""
+    """Keys (a signature and two bits of kind) and places of one set."""
     keys, places = [], []
     for below, band in enumerate(bands_of(len(hashes), percent)):
         if band.segments == 1:
@@ -172,7 +174,7 @@ def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         near = slice(0, edges[band.neighbours])
         less_one = whole[segment[near]] - mixed[near]
         kind = LOOKED_UP if below else INDEXED
-        keys += [mix(whole) & ~np.uint64(3) | np.uint64(kind), mix(less_one) & ~np.uint64(3) | np.uint64(kind + 2)]
+        keys += [mix(part) >> np.uint64(64 - _SIGNATURE_BITS) << np.uint64(2) | np.uint64(code) for part, code in ((whole, kind), (less_one, kind + 2))]
         places += [np.arange(band.segments) * _PLACES + below, segment[near] * _PLACES + below]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -383,9 +385,10 @@ class Unit(NamedTuple):
 _UNIT = ["unit", "a", "b"]
 
 
-def _verifier(percent: int):
+def _verifier(percent: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
+            held[:] = [row for row in held if row[2] is not None and row[3] is not None]
             if len(held) > 1:
                 cids = np.array([row[0] for row in held])
                 rows = [np.column_stack([np.full(len(sig), n), sig, kind, level]) for n, (_, _, _, sig, kind, level) in enumerate(held)]
@@ -396,22 +399,30 @@ def _verifier(percent: int):
 
         current, held = None, []
         for batch in batches:
-            for unit, a, b, cid, side, hashes, sig, kind, level in zip(*(column.to_pylist() for column in batch.columns)):
+            columns = (batch.column(n).cast(pa.large_binary()) if name == "text" else batch.column(n) for n, name in enumerate(batch.schema.names))
+            for unit, a, b, cid, side, text, hashes, sig, kind, level in zip(*(column.to_pylist() for column in columns)):
                 if current != (unit, a, b):
                     yield from close()
                     current, held = (unit, a, b), []
-                if held and held[-1][:2] == (cid, side):
-                    continue  # the same text on several rows
-                held.append((cid, side, hashes, sig, kind, level))
+                if not held or held[-1][:2] != [cid, side]:
+                    held.append([cid, side, None, None, None, None])
+                if text is not None and held[-1][2] is None:  # else one text on several rows
+                    raw = shingle_set(text, width, seed).tobytes()
+                    hashes = raw if xxhash.xxh3_64_intdigest(raw, seed) == cid & (1 << 64) - 1 else None
+                if hashes is not None:
+                    held[-1][2] = hashes
+                if sig is not None:
+                    held[-1][3:] = sig, kind, level
         yield from close()
 
     return run
 
 
-def _compared(units: DataFrame, percent: int) -> DataFrame:
-    """Links of units; a row per member: unit, a, b, cid, side, hashes, sigs, kinds, levels."""
+def _compared(units: DataFrame, percent: int, width: int, seed: int) -> DataFrame:
+    """Links of units; rows of their members: unit, a, b, cid, side, text or hashes, sigs, kinds, levels, the set and the
+    lookups in one row or in two."""
     dealt = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "side", "cid")
-    return dealt.mapInArrow(_verifier(percent), "a long, b long")
+    return dealt.mapInArrow(_verifier(percent, width, seed), "a long, b long")
 
 
 def _to_pivot(percent: int):
@@ -432,7 +443,7 @@ def _to_pivot(percent: int):
     return run
 
 
-def _hot_links(hot: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+def _hot_links(hot: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, leaf: int, width: int, seed: int) -> DataFrame:
     """Links among the sets of signatures that are too large for one task (sig, members, shingles)."""
     shares = rows.groupBy("cid").agg(F.count("*").alias("shares"))
     pivots = rows.join(hot, "sig").join(shares, "cid").groupBy("sig").agg(F.max_by("cid", F.struct("shares", "cid")).alias("pivot"))
@@ -455,9 +466,9 @@ def _hot_links(hot: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, l
     dealt = pairs.select(F.col("one.sig").alias("sig"), F.col("one.block").alias("a"), F.col("two.block").alias("b"), F.explode(sides).alias("s")).select("sig", "a", "b", "s.side", "s.block")
     entries = rows.groupBy("sig", "cid").agg(*_lists())
     units = dealt.join(placed.select("sig", "block", "cid"), ["sig", "block"]).join(entries, ["sig", "cid"]).join(sets, "cid")
-    units = units.select(F.col("sig").alias("unit"), "a", "b", "cid", "side", "hashes", "sigs", "kinds", "levels")
+    units = units.select(F.col("sig").alias("unit"), "a", "b", "cid", "side", F.lit(None).cast("string").alias("text"), "hashes", "sigs", "kinds", "levels")
     linked = measured.where("linked AND cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-    return linked.unionByName(_compared(units, percent))
+    return linked.unionByName(_compared(units, percent, width, seed))
 
 
 def _lists():
@@ -465,25 +476,66 @@ def _lists():
     return [entry.getField(name).alias(name + "s") for name in ("sig", "kind", "level")]
 
 
-def links(allocated: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """Links (a, b) between cids; `grouped` has the group of each cid (cid, root, n)."""
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    small = (F.col("members") <= leaf) & (F.col("shingles") <= LEAF_SHINGLES)
-    placed = allocated.join(grouped.select("cid", "root"), "cid").join(sizes.select("root", small.alias("small")), "root")
-    zero = F.lit(0).cast("long")
-    whole = placed.where("small").groupBy("root", "cid").agg(*_lists()).join(sets, "cid")
-    found = _compared(whole.select(F.col("root").alias("unit"), zero.alias("a"), zero.alias("b"), "cid", F.lit(0).alias("side"), "hashes", "sigs", "kinds", "levels"), percent)
+def _members(frame: DataFrame, unit: str) -> DataFrame:
+    """Rows of units that are whole groups or signatures; `frame` may lack the set, or the lookups."""
+    zero, missing = F.lit(0).cast("long"), {"text": "string", "hashes": "binary", "sigs": "array<long>", "kinds": "array<int>", "levels": "array<int>"}
+    rest = [F.col(name) if name in frame.columns else F.lit(None).cast(kind).alias(name) for name, kind in missing.items()]
+    return frame.select(F.col(unit).alias("unit"), zero.alias("a"), zero.alias("b"), "cid", F.lit(0).alias("side"), *rest)
+
+
+def _hashed(width: int, seed: int):
+    """The sets of texts, for those that are the set named by cid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, width, seed).tobytes() for text in texts(batch)]
+            named = [xxhash.xxh3_64_intdigest(raw, seed) == cid & (1 << 64) - 1 for raw, cid in zip(sets, batch.column("cid").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "hashes"]).filter(pa.array(named, pa.bool_()))
+
+    return run
+
+
+def links(allocated: DataFrame, held: DataFrame, grouped: DataFrame, percent: int, leaf: int, width: int, seed: int) -> DataFrame:
+    """Links (a, b) between cids; `grouped` has the group of each cid (cid, root, n, small), and `held` its text beside them."""
+    placed = allocated.join(grouped.select("cid", "root", "small").hint("merge"), "cid")
     large = materialize(placed.where("NOT small").select("sig", "cid", "n", "kind", "level"), "jaccard-large")
+    lookups = placed.where("small").groupBy("root", "cid").agg(*_lists())
+    members = _members(held.where("small"), "root").unionByName(_members(lookups, "root"))
+    found = _compared(members, percent, width, seed)
     if large.isEmpty():
         return found
-    by_sig = large.groupBy("sig").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("level").alias("most")).where("members > 1 AND most > 0").drop("most")
-    by_sig = materialize(by_sig, "jaccard-signatures")
-    each = large.join(by_sig.where(small).select("sig"), "sig", "left_semi").groupBy("sig", "cid").agg(*_lists()).join(sets, "cid")
-    found = found.unionByName(_compared(each.select(F.col("sig").alias("unit"), zero.alias("a"), zero.alias("b"), "cid", F.lit(0).alias("side"), "hashes", "sigs", "kinds", "levels"), percent))
-    hot = by_sig.where(~small)
+    sets = held.where("NOT small").select("cid", "text").mapInArrow(_hashed(width, seed), "cid long, hashes binary")
+    sets = materialize(sets.dropDuplicates(["cid"]), "jaccard-hashes")
+    sizes = large.groupBy("sig").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("level").alias("most")).where("members > 1 AND most > 0").drop("most")
+    sizes = materialize(sizes, "jaccard-signatures")
+    each = large.join(sizes.where(_small(leaf)).select("sig"), "sig", "left_semi").groupBy("sig", "cid").agg(*_lists()).join(sets, "cid")
+    found = found.unionByName(_compared(_members(each, "sig"), percent, width, seed))
+    hot = sizes.where(~_small(leaf))
     if hot.isEmpty():
         return found
-    return found.unionByName(_hot_links(hot, large, sets, percent, leaf))
+    return found.unionByName(_hot_links(hot, large, sets, percent, leaf, width, seed))
+
+
+def _small(leaf: int) -> Column:
+    return (F.col("members") <= leaf) & (F.col("shingles") <= LEAF_SHINGLES)
+
+
+_FILTER_BITS = 1 << 26
+
+
+def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (id, as_said and more) with the texts of the documents that they name.
+
+    A bit map of fixed size (2**20 words of 64 bits, so it may be broadcast) spares most other texts the shuffle.
+    """
+
+    def bits(said: str) -> tuple[Column, Column]:
+        slot = F.pmod(F.col(said), F.lit(_FILTER_BITS))
+        return F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod({said}, 64) AS INT))").alias("bit")
+
+    held = wanted.select(*bits("as_said")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    likely = _said(documents).select("*", *bits("said")).join(F.broadcast(held), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return likely.select("doc_id", "said", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("said") == F.col("as_said")))
 
 
 def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int = LEAF) -> DataFrame:
@@ -500,30 +552,21 @@ def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int =
     rows = marked.where("size(keys) > 0").select("cid", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "cid", F.col("x.places").alias("place"))
     shared = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "cid").mapInArrow(_shared, _SHARED)
     shared = materialize(shared, "jaccard-shared")
-    sized = shared.join(classes.select("cid", "n"), "cid").repartition("cid").sortWithinPartitions("cid")
+    sized = shared.join(classes.select("cid", "n").hint("merge"), "cid").repartition("cid").sortWithinPartitions("cid")
     allocated = materialize(sized.mapInArrow(_allocator(percent), _ALLOCATED), "jaccard-lookups")
 
     met = allocated.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"), F.max("level").alias("most")).where("most > 0 AND hub <> other")
-    allocated = materialize(allocated.join(met.select("sig", "hub"), "sig"), "jaccard-met")
-    groups = components(allocated.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    linked = materialize(allocated.join(met.select("sig", "hub").hint("merge"), "sig"), "jaccard-met")
+    groups = components(linked.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    allocated = linked.drop("hub")
     members = allocated.select("cid").distinct().join(groups, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
-    grouped = materialize(members.join(classes, "cid").select("cid", "root", "n", "at"), "jaccard-groups")
+    grouped = members.join(classes.select("cid", "n", "at"), "cid")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("root", _small(leaf).alias("small"))
+    grouped = materialize(grouped.join(sizes, "root"), "jaccard-groups")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids, sets = [], []
-            for cid, text in zip(batch.column("cid").to_pylist(), texts(batch)):
-                raw = shingle_set(text, width, seed).tobytes()
-                if xxhash.xxh3_64_intdigest(raw, seed) == cid & (1 << 64) - 1:
-                    cids.append(cid)
-                    sets.append(raw)
-            yield pa.RecordBatch.from_arrays([longs(cids), pa.array(sets, pa.binary())], ["cid", "hashes"])
-
-    wanted = grouped.select("cid", F.col("at.doc_id").alias("id"), F.col("at.said").alias("as_said"))
-    found = _said(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("said") == F.col("as_said"))).select("cid", "text")
-    sets = materialize(found.mapInArrow(hashed, "cid long, hashes binary"), "jaccard-hashes")
-
-    roots = components(links(allocated.drop("hub"), sets, grouped, percent, leaf))
+    wanted = grouped.select("cid", "root", "small", F.col("at.doc_id").alias("id"), F.col("at.said").alias("as_said"))
+    held = _texts_of(documents, wanted).select("cid", "root", "small", "text")
+    roots = components(links(allocated, held, grouped, percent, leaf, width, seed))
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = placed.join(named, "root").select("cid", "component_id")
