@@ -7,12 +7,13 @@ Features are the distinct words (A-Z lowered, outer punctuation off), their firs
 shares of the text as a whole in steps. A document's score is the sum of its word features' weights, damped by a small
 power of their number, plus its shape's weights. Features are counted over the fitting sample, and those in few of its documents have no weight.
 
-The fit uses a bounded sample: the `sample` labelled documents with the lowest hashes of their ids, and one task. Every
+The fit uses a bounded sample: the `sample` labelled documents with the lowest hashes of their ids (a row of each id), and one task. Every
 document is then scored in one pass without a shuffle, by whole texts.
 
 Defined results: a null text is empty. A label without a document, or a document without a label, is not fitted; labels
 with null grades are left out, and of several labels of a document the lowest counts. Repeated rows are scored alike. Without
-any usable label every document is kept, with even odds.
+any usable label, or on an empty table, every document is kept, with even odds. A very long text is scored whole, by one
+task, with its distinct words in memory. Other columns, whatever their names, are ignored, or carried along in `row`.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pactlens.llm.common import ids_and_text, texts
+from pactlens.llm.common import ids_and_text, texts, whole_rows
 
 BITS = 20
 SHAPE = 64  # first buckets, for shares of the text as a whole
@@ -174,7 +176,10 @@ def train(documents: DataFrame, graded: DataFrame, levels: int = 3, sample: int
     """Model from `graded` (doc_id, grade): the `sample` documents with the lowest hashes of their ids."""
     usable = graded.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    rows = ids_and_text(documents).join(F.broadcast(chosen), "doc_id").limit(2 * sample).select("doc_id", "text", "grade")
+    # Of several rows of an id the one with the lowest hash of its text is fitted, so that repeated ids keep the bound.
+    found = ids_and_text(documents).join(F.broadcast(chosen), "doc_id")
+    first = F.min_by(F.struct("text", "grade"), F.xxhash64("text"))
+    rows = found.groupBy("doc_id").agg(first.alias("held")).select("doc_id", "held.text", "held.grade").repartition(1)
 
     def fit_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -197,9 +202,9 @@ def train(documents: DataFrame, graded: DataFrame, levels: int = 3, sample: int
     return Model(weights, np.frombuffer(found[0].thresholds).copy())
 
 
-def score(documents: DataFrame, model: Model | None, least: int = 2, tail: float = 0.5) -> DataFrame:
+def score(documents: DataFrame, model: Model | None, least: int = 2, tail: float = 0.5, with_rows: bool = False) -> DataFrame:
     """expected_grade, tail_probability = P(grade >= `least`), and kept (at least `tail`) of each row. The weights go out
-    with the tasks: at most 2**20 numbers, whatever the corpus."""
+    with the tasks: at most 2**20 numbers, whatever the corpus. `with_rows` adds `row`, a struct of the row's own columns."""
     used = np.flatnonzero(model.weights).astype(np.int32) if model else np.zeros(0, np.int32)
     packed = (used, model.weights[used], model.thresholds) if model else None
     sent = documents.sparkSession.sparkContext.broadcast(packed)
@@ -216,12 +221,20 @@ def score(documents: DataFrame, model: Model | None, least: int = 2, tail: float
             else:
                 by_grade = held.tails(np.array([held.score(text) for text in texts(batch)], float))
                 expected, tails = by_grade.sum(axis=1), by_grade[:, least - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(expected), pa.array(tails), pa.array((tails >= tail) | (held is None))], ["doc_id", "expected_grade", "tail_probability", "kept"])
+            columns = [batch.column("doc_id"), pa.array(expected), pa.array(tails), pa.array((tails >= tail) | (held is None))]
+            names = ["doc_id", "expected_grade", "tail_probability", "kept"]
+            if with_rows:
+                columns, names = [*columns, batch.column("row")], [*names, "row"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return ids_and_text(documents).mapInArrow(run, SCORED)
+    if not with_rows:
+        return ids_and_text(documents).mapInArrow(run, SCORED)
+    read = whole_rows(documents).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "row")
+    schema = StructType().add("doc_id", "long").add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
+    return read.mapInArrow(run, schema.add("row", documents.schema))
 
 
-def classify(documents: DataFrame, labels: DataFrame, sample: int = 8000, tail: float = 0.5) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, sample: int = 8000, tail: float = 0.5, with_rows: bool = False) -> DataFrame:
     """Every document scored by a model fitted on the labelled ones."""
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-    return score(documents, train(documents, graded, sample=sample), tail=tail)
+    return score(documents, train(documents, graded, sample=sample), tail=tail, with_rows=with_rows)
