@@ -542,7 +542,7 @@ def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int =
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row."""
     seed = 0
     while True:
-        marked = materialize(_said(documents).mapInArrow(_marker(width, percent, seed), _MARKED), "jaccard-sets")
+        marked = materialize(_said(documents).mapInArrow(_marker(width, percent, seed), _MARKED), "jaccard-sets", compression="zstd")
         least, most = F.min(F.struct("n", "twin")), F.max(F.struct("n", "twin"))
         named = marked.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "said")).alias("at"), least.alias("least"), most.alias("most"))
         classes = materialize(named.select("cid", "first_id", "at", F.col("least.n").alias("n"), (F.col("least") == F.col("most")).alias("one_set")), "jaccard-classes")
@@ -551,7 +551,7 @@ def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int =
         seed += 1
     rows = marked.where("size(keys) > 0").select("cid", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "cid", F.col("x.places").alias("place"))
     shared = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "cid").mapInArrow(_shared, _SHARED)
-    shared = materialize(shared, "jaccard-shared")
+    shared = materialize(shared, "jaccard-shared", compression="zstd")
     sized = shared.join(classes.select("cid", "n").hint("merge"), "cid").repartition("cid").sortWithinPartitions("cid")
     allocated = materialize(sized.mapInArrow(_allocator(percent), _ALLOCATED), "jaccard-lookups")
 
