@@ -93,10 +93,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, levels: int, fewest: int = 4, ridge: float = 0.3, steps: int = 60) -> Model:
+def fit(rows: list[list[int]] | list[np.ndarray], grades: np.ndarray, levels: int, fewest: int = 4, ridge: float = 0.3, steps: int = 60) -> Model:
     """Weights and thresholds of the largest penalised likelihood, by limited-memory quasi-Newton steps."""
     size = np.array([len(row) for row in rows])
-    flat = np.fromiter((f for row in rows for f in row), np.int64, int(size.sum()))
+    flat = np.concatenate([np.asarray(row, np.int64) for row in rows])
     doc = np.repeat(np.arange(len(rows)), size)
     seen = np.bincount(flat, minlength=1 << BITS)
     kept = (seen[flat] >= fewest) | (flat < SHAPE)
@@ -184,7 +184,7 @@ def train(documents: DataFrame, graded: DataFrame, levels: int = 3, sample: int
     def fit_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            held += zip(batch.column("doc_id").to_pylist(), batch.column("grade").to_pylist(), map(features, texts(batch)))
+            held += zip(batch.column("doc_id").to_pylist(), batch.column("grade").to_pylist(), (np.array(features(text), np.int32) for text in texts(batch)))
         held.sort(key=lambda row: row[0])
         if held:
             model = fit([row[2] for row in held], np.array([row[1] for row in held]), levels)

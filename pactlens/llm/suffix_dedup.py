@@ -31,6 +31,7 @@ its size. An empty table gives an empty result. Other columns, whatever their na
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ BUCKET = 16 << 20  # bytes of text for each bucket
 HOT = 1000  # batches from which on an anchor's windows are dealt one by one
 SHARDS = 4  # of a collection
 COLLECTION = 1 << 16  # bytes of strings that are merged at once
-_CHUNK, _LONGEST_RUN = 1 << 20, 200
+_CHUNK, _PART, _LONGEST_RUN = 1 << 18, 1 << 16, 200
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _KEY_BITS = 48
 
@@ -276,50 +277,66 @@ def _member(keys: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == keys
 
 
-def _places(batch: Batch, answers: list, length: int, anchor: int):
-    """A batch's distinct (key, string) by number with the smallest id of each, and the number and position of each place.
+class _Strings:
+    """Distinct strings by number, with the key and the smallest id of each. Equal strings have equal keys."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.keys, self.least = array("q"), array("q")
+
+    def add(self, key: int, string: bytes, doc_id: int) -> int:
+        n = self.number.setdefault(string, len(self.least))
+        if n == len(self.least):
+            self.keys.append(key)
+            self.least.append(doc_id)
+        elif doc_id < self.least[n]:
+            self.least[n] = doc_id
+        return n
+
+
+def _numbers(values: array) -> np.ndarray:
+    return np.frombuffer(values, np.int64) if len(values) else np.zeros(0, np.int64)
+
+
+def _places(batch: Batch, answers: list, length: int, anchor: int) -> tuple[_Strings, np.ndarray, np.ndarray]:
+    """A batch's distinct strings, and the number and position of each place.
 
     The numbers follow from the batch and the set of its shared anchors, so a second run gives the same."""
     start, count, key, doc = runs(batch, length, anchor)
     usual, hot = (np.sort(np.concatenate([_from_six(a[name]) for a in answers])) for name in ("usual", "hot"))
     text, ids = batch.text, batch.ids
-    number: dict[tuple[int, bytes], int] = {}
-    least: list[int] = []
-    names, positions = [], []
+    found, names, positions = _Strings(), array("q"), array("q")
 
     def place(key: int, string: bytes, position: int, doc_id: int) -> None:
-        n = number.setdefault((key, string), len(least))
-        if n == len(least):
-            least.append(doc_id)
-        elif doc_id < least[n]:
-            least[n] = doc_id
-        names.append(n)
+        names.append(found.add(key, string, doc_id))
         positions.append(position)
 
-    kept = _member(key, usual)
-    for k, s, c, i in zip(key[kept].tolist(), start[kept].tolist(), count[kept].tolist(), ids[doc[kept]].tolist()):
-        place(k, text[s : s + c + length - 1], s, i)
-    kept = _member(key, hot)
-    for s, c, i in zip(start[kept].tolist(), count[kept].tolist(), ids[doc[kept]].tolist()):
-        for at in range(s, s + c):
-            string = text[at : at + length]
-            place(xxhash.xxh64_intdigest(string) >> (64 - _KEY_BITS), string, at, i)
+    # In parts: a run's numbers as Python's take several times the room of its text.
+    kept = np.flatnonzero(_member(key, usual))
+    for part in (kept[n : n + _PART] for n in range(0, len(kept), _PART)):
+        for k, s, c, i in zip(key[part].tolist(), start[part].tolist(), count[part].tolist(), ids[doc[part]].tolist()):
+            place(k, text[s : s + c + length - 1], s, i)
+    kept = np.flatnonzero(_member(key, hot))
+    for part in (kept[n : n + _PART] for n in range(0, len(kept), _PART)):
+        for s, c, i in zip(start[part].tolist(), count[part].tolist(), ids[doc[part]].tolist()):
+            for at in range(s, s + c):
+                string = text[at : at + length]
+                place(xxhash.xxh64_intdigest(string) >> (64 - _KEY_BITS), string, at, i)
 
-    return number, np.array(least, np.int64), np.array(names, np.int64), np.array(positions, np.int64)
+    return found, _numbers(names), _numbers(positions)
 
 
-def _strings_of(packed: bytes, answers: list, buckets: int, length: int, anchor: int) -> list[tuple[int, bytes]]:
+def _strings_of(packed: bytes, answers: list, buckets: int, length: int, anchor: int) -> Iterator[tuple[int, bytes]]:
     """A batch's distinct strings, packed by bucket."""
-    number, least, _, _ = _places(Batch(packed), answers, length, anchor)
-    by_bucket: dict[int, list[tuple[int, bytes, int]]] = {}
-    for (k, string), n in number.items():
-        by_bucket.setdefault(k % buckets, []).append((k, string, n))
-    rows = []
-    for bucket, held in by_bucket.items():
-        keys, strings, numbers = zip(*held)
-        sizes = np.array([len(x) for x in strings], "<i4")
-        rows.append((bucket, _zip(np.array(keys, "<u8"), sizes, np.array(numbers, "<i4"), least[list(numbers)], b"".join(strings))))
-    return rows
+    found, _, _ = _places(Batch(packed), answers, length, anchor)
+    strings, keys, least = list(found.number), _numbers(found.keys), _numbers(found.least)
+    bucket = keys % buckets
+    order = np.argsort(bucket, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+    for part in (order[a:b] for a, b in zip(cuts, cuts[1:]) if b > a):
+        held = [strings[n] for n in part.tolist()]
+        sizes = np.array([len(string) for string in held], "<i4")
+        yield int(bucket[part[0]]), _zip(keys[part].astype("<u8"), sizes, part.astype("<i4"), least[part], b"".join(held))
 
 
 # --- Burrows-Wheeler transforms ------------------------------------------------------------------------------------
@@ -423,54 +440,52 @@ def window_minima(strings: list[bytes], ids: np.ndarray, length: int, shards: in
 
 def _resolve(table: pa.Table, length: int) -> pa.Table:
     """To each batch, the smallest id of every window of its strings in this bucket."""
-    number: dict[tuple[int, bytes], int] = {}
-    least: list[int] = []
-    asked: list[tuple[int, list[int], np.ndarray]] = []
-    for batch, raw in zip(table["batch"].to_pylist(), table["strings"].to_pylist()):
-        keys, sizes, numbers, ids, text = _unzip(raw, "<u8", "<i4", "<i4", "<i8", None)
-        at, mine = 0, []
-        for key, size, doc_id in zip(keys.tolist(), sizes.tolist(), ids.tolist()):
-            n = number.setdefault((key, text[at : at + size]), len(least))
+    found = _Strings()
+    asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for batch, raw in zip(table["batch"].to_pylist(), table["strings"]):
+        keys, sizes, numbers, doc_ids, text = _unzip(raw.as_py(), "<u8", "<i4", "<i4", "<i8", None)
+        at, mine = 0, array("q")
+        for key, size, doc_id in zip(keys.tolist(), sizes.tolist(), doc_ids.tolist()):
+            mine.append(found.add(key, text[at : at + size], doc_id))
             at += size
-            if n == len(least):
-                least.append(doc_id)
-            elif doc_id < least[n]:
-                least[n] = doc_id
-            mine.append(n)
-        asked.append((batch, mine, numbers))
-    by_key: dict[int, list[tuple[int, bytes]]] = {}
-    for (key, string), n in number.items():
-        by_key.setdefault(key, []).append((n, string))
-    ids = np.array(least, np.int64)
-    # Runs of windows with one smallest id: number of windows, and the id. A lone string has one run.
-    answer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    held: list[tuple[int, bytes]] = []
+        asked.append((batch, _numbers(mine), numbers))
+    strings, keys, ids = list(found.number), _numbers(found.keys), _numbers(found.least)
+    windows = np.fromiter((len(string) - length + 1 for string in strings), np.int64, len(strings))
+    order = np.argsort(keys, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)), len(order))
+    several = np.diff(cuts) > 1
+    # Runs of windows with one smallest id: string, number of windows, and the id. A lone string has one run.
+    lone = order[cuts[:-1][~several]]
+    made = [(lone, windows[lone], ids[lone])]
+
+    def flush(names: list[int]) -> None:
+        minima = window_minima([strings[n] for n in names], ids[names], length)
+        firsts = [np.flatnonzero(np.append(True, m[1:] != m[:-1])) for m in minima]
+        counts = np.concatenate([np.diff(np.append(first, len(m))) for first, m in zip(firsts, minima)])
+        made.append((np.repeat(names, [len(first) for first in firsts]), counts, np.concatenate([m[first] for first, m in zip(firsts, minima)])))
+
+    held: list[int] = []
     size = 0
-
-    def flush() -> None:
-        if held:
-            names = [n for n, _ in held]
-            for n, minima in zip(names, window_minima([s for _, s in held], ids[names], length)):
-                first = np.flatnonzero(np.append(True, minima[1:] != minima[:-1]))
-                answer[n] = np.diff(np.append(first, len(minima))), minima[first]
-
-    for strings in by_key.values():
-        if len(strings) == 1:
-            (n, string), = strings
-            answer[n] = np.array([len(string) - length + 1]), ids[n : n + 1]
-            continue
-        held += strings
-        size += sum(len(s) + 1 for _, s in strings)
+    for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist()):
+        names = order[a:b].tolist()
+        held += names
+        size += sum(len(strings[n]) + 1 for n in names)
         if size >= COLLECTION:
-            flush()
+            flush(held)
             held, size = [], 0
-    flush()
-    rows = []
-    for batch, mine, numbers in asked:
-        pairs = [answer[n] for n in mine]
-        counts = [len(a) for a, _ in pairs]
-        rows.append((batch, _zip(np.repeat(numbers, counts), np.concatenate([a for a, _ in pairs]).astype("<i4"), np.concatenate([b for _, b in pairs]).astype("<i8"))))
-    return pa.table({"batch": longs([b for b, _ in rows]), "answer": _binaries([a for _, a in rows])})
+    if held:
+        flush(held)
+    owner, count, least = (np.concatenate(parts) for parts in zip(*made))
+    by_owner = np.argsort(owner, kind="stable")
+    count, least = count[by_owner].astype("<i4"), least[by_owner].astype("<i8")
+    times = np.bincount(owner, minlength=len(strings))
+    begin = np.cumsum(times) - times
+    answers = []
+    for _, mine, numbers in asked:
+        each = times[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        answers.append(_zip(np.repeat(numbers, each), count[at], least[at]))
+    return pa.table({"batch": longs([batch for batch, _, _ in asked]), "answer": _binaries(answers)})
 
 
 # --- removal -----------------------------------------------------------------------------------------------------
@@ -479,7 +494,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
 def _removed(batch: Batch, name: np.ndarray, position: np.ndarray, answers: list[bytes], length: int) -> np.ndarray:
     """Which bytes of the batch go."""
     n = len(batch.values)
-    change = np.zeros(n + 1, np.int64)
+    change = np.zeros(n + 1, np.int32)
     if answers:
         owner, count, least = (np.concatenate(parts) for parts in zip(*[_unzip(raw, "<i4", "<i4", "<i8") for raw in answers]))
         order = np.argsort(owner, kind="stable")
@@ -493,7 +508,7 @@ def _removed(batch: Batch, name: np.ndarray, position: np.ndarray, answers: list
         go = least[which] < batch.ids[doc]
         np.add.at(change, start[go], 1)
         np.add.at(change, start[go] + count[which][go] + length - 1, -1)
-    return np.cumsum(change)[:n] > 0
+    return np.cumsum(change, out=change)[:n] > 0
 
 
 def _finish(rows: Iterator[pa.RecordBatch], length: int, anchor: int, with_text: bool, with_rows: bool) -> Iterator[pa.RecordBatch]:
@@ -501,7 +516,7 @@ def _finish(rows: Iterator[pa.RecordBatch], length: int, anchor: int, with_text:
         carried = part.column("rows").to_pylist() if with_rows else [None] * part.num_rows
         for packed, shared, answers, raw in zip(*(part.column(name).to_pylist() for name in ("packed", "shared", "answers")), carried):
             batch = Batch(packed)
-            _, _, name, position = _places(batch, shared, length, anchor) if answers else (None,) * 4
+            _, name, position = _places(batch, shared, length, anchor) if answers else (None,) * 3
             removed = _removed(batch, name, position, answers or [], length)
             gone, spans, digests, kept_texts = [], [], [], []
             for start, end, null in zip(batch.starts.tolist(), batch.ends.tolist(), batch.nulls.tolist()):
@@ -543,9 +558,9 @@ def remove_repeats(
 
     def strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            for number, raw, answers in zip(*(part.column(name).to_pylist() for name in ("batch", "packed", "shared"))):
-                sent = _strings_of(raw, answers, buckets, length, anchor)
-                yield pa.RecordBatch.from_arrays([longs([number] * len(sent)), longs([k for k, _ in sent]), _binaries([x for _, x in sent])], ["batch", "bucket", "strings"])
+            for number, raw, answers in zip(*(part.column(name) for name in ("batch", "packed", "shared"))):
+                sent = list(_strings_of(raw.as_py(), answers.as_py(), buckets, length, anchor))
+                yield pa.RecordBatch.from_arrays([longs([number.as_py()] * len(sent)), longs([k for k, _ in sent]), _binaries([x for _, x in sent])], ["batch", "bucket", "strings"])
 
     anchors = packed.select("batch", "packed").mapInArrow(
         lambda rows: _send_anchors(rows, buckets, length, anchor), "bucket long, batch long, several binary, one binary"

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-KNOWN = 700_000  # words of a generation; a worker remembers two
+KNOWN = 350_000  # words of a generation; a worker remembers two, in about 100 MB
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 _BULK, _PART = 4096, 1 << 20
 _MARKS = b"~^|"  # one of these stands between words

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pactlens.llm import suffix_dedup
@@ -106,3 +108,24 @@ def test_suffix_order():
         text = bytes(draw.choice(b"\x00ab") for _ in range(draw.randrange(1, 80)))
         values = np.frombuffer(text, np.uint8)
         assert suffix_dedup.suffix_order(values).tolist() == sorted(range(len(text)), key=lambda n: text[n:])
+
+
+def test_a_bucket_takes_little_more_than_its_strings():
+    draw, many = random.Random(9), 30_000
+    strings = [draw.randbytes(64).replace(b"\xff", b"\xfe") for _ in range(many)]
+    keys = [n // 2 * 2 if n % 5 == 0 else n for n in range(many)]  # some anchors have two strings
+    raw = suffix_dedup._zip(
+        np.array(keys, "<u8"), np.full(many, 64, "<i4"), np.arange(many, dtype="<i4"), np.arange(many, dtype="<i8"), b"".join(strings)
+    )
+    table = pa.table({"batch": pa.array([1, 2], pa.int64()), "strings": pa.array([raw, raw], pa.binary())})
+    suffix_dedup._resolve(table.slice(0, 1), 50)
+    tracemalloc.start()
+    try:
+        answers = suffix_dedup._resolve(table, 50)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    names, counts, least = suffix_dedup._unzip(answers["answer"][1].as_py(), "<i4", "<i4", "<i8")
+    assert answers["batch"].to_pylist() == [1, 2]
+    assert names.tolist() == least.tolist() == list(range(many)) and set(counts.tolist()) == {15}
+    assert peak < many * 64 * 12  # 18 times the strings with objects for every key and answer
