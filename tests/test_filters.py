@@ -147,3 +147,13 @@ def test_requested_by(spark):
     assert ids(df, filters.requested_by(F.col("c"), None, "U1")) == {1, 2}
     assert ids(df, filters.requested_by(F.col("c"), "Y", "U1")) == {1}
     assert ids(df, filters.requested_by(F.col("c"), "N", "U1")) == set()
+
+
+def test_headers_and_groups_meet_in_partitions(spark, folder):
+    """Whatever the files' sizes, headers are not broadcast to the tasks that read the groups."""
+    from pactlens.queries import QUERIES
+
+    for name in ("filter_location_scope", "filter_mode_dependent", "filter_soto_country", "filter_on_derived"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "inc_hdr_id" in line]
+        assert "SortMergeJoin" in plan and not broadcast, name
