@@ -125,8 +125,11 @@ def response_fields(message: Column) -> dict[str, Column]:
 
 
 def match_responses(requests: DataFrame, responses: DataFrame, key: str = "reference") -> DataFrame:
-    """Each request with the status and error text of its response, if one came."""
-    return requests.join(responses, key, "left")
+    """Each request with the status and error text of its response, if one came.
+
+    Responses are written first: the join's test for a key would otherwise parse them again, and before they are dealt out.
+    """
+    return requests.join(materialize(responses, "responses"), key, "left")
 
 
 def answers_in_order(requests: DataFrame, answers: DataFrame, key: str = "reference", thread: str = "thread_id", at: str = "at") -> DataFrame:

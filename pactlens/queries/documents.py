@@ -105,8 +105,13 @@ def _base(t, name: str):
     return t.spark.read.parquet(f"{t.folder}/{name}.parquet")
 
 
+def _spread(t, name: str):
+    """Rows of a table over all cores: a document is many times its row's size, so one split of a file makes very many of them."""
+    return _base(t, name).repartition(4 * t.spark.sparkContext.defaultParallelism)
+
+
 def _requests(t):
-    return _base(t, "customer").select(documents.parse_requests(F.expr(REQUEST_TEXT)).alias("doc"))
+    return _spread(t, "customer").select(documents.parse_requests(F.expr(REQUEST_TEXT)).alias("doc"))
 
 
 def _responses(t):
@@ -387,7 +392,7 @@ def json_large_pages(t):
 def request_response_join(t):
     doc = F.col("doc")
     requests = _requests(t).select(doc["ProfileReferencekey"].alias("reference"), doc["CompanyName"].alias("company"))
-    answers = _base(t, "customer").where(F.col("c_custkey") % 4 != 0).select(F.expr(ANSWER_TEXT).alias("record"))
+    answers = _spread(t, "customer").where(F.col("c_custkey") % 4 != 0).select(F.expr(ANSWER_TEXT).alias("record"))
     fields = payloads.response_fields(documents.log_fields(F.col("record"))["message"])
     responses = answers.select(*[column.alias(name) for name, column in fields.items()])
     return payloads.match_responses(requests, responses)

@@ -182,3 +182,22 @@ def test_one_line_page_is_cut_at_element_borders(spark, tmp_path):
         for r, contact in zip(held, want):
             assert r.envelope.productCode == "P" and r.envelope.errors == "x},{y"
             assert (r.contact and (r.contact.lastName, r.contact.firstName, r.contact.pageNumber)) == (contact and (contact["lastName"], contact["firstName"], contact["pageNumber"]))
+
+
+def test_documents_of_one_file_are_parsed_by_many_tasks(spark, folder):
+    from pactlens.queries import documents as queries
+    from pactlens.sources.standins import standin_tables
+
+    tables = standin_tables(spark, folder)
+    tables.folder = folder
+    assert queries._requests(tables).select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_responses_are_parsed_before_the_join(spark):
+    text = F.concat(F.lit("<R><ProfileReferencekey>K"), F.col("id"), F.lit("</ProfileReferencekey><Status>true</Status></R>"))
+    fields = payloads.response_fields(text)
+    responses = spark.range(1, 4).select(*[column.alias(name) for name, column in fields.items()])
+    requests = spark.range(3).select(F.concat(F.lit("K"), F.col("id")).alias("reference"))
+    found = payloads.match_responses(requests, responses)
+    assert sorted((r.reference, r.status) for r in found.collect()) == [("K0", None), ("K1", "true"), ("K2", "true")]
+    assert "from_xml" not in found._jdf.queryExecution().executedPlan().toString()
