@@ -157,3 +157,14 @@ def test_headers_and_groups_meet_in_partitions(spark, folder):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "inc_hdr_id" in line]
         assert "SortMergeJoin" in plan and not broadcast, name
+
+
+def test_a_task_joins_a_bounded_number_of_headers_and_groups(spark, folder, monkeypatch):
+    from pactlens.queries import QUERIES
+    from pactlens.queries import filters as queries
+
+    whole = QUERIES["filter_location_scope"](spark, folder)
+    monkeypatch.setattr(queries, "TASK_ROWS", 200)
+    cut = QUERIES["filter_location_scope"](spark, folder)
+    assert "REPARTITION_BY_NUM" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
