@@ -16,8 +16,11 @@ lookup would meet. Lookups that meet nothing are free; only where they do not re
 sets need none and are done.
 
 Verification. Sets that may meet form groups (components over shared signatures). A group of at most LEAF sets is one task's:
-it looks up, drops pairs already connected, and counts common shingles of the rest exactly. A larger group is taken signature
-by signature; a signature with more than LEAF sets is cut along the distance to a pivot set (the one that shares most): sets
+it looks up, drops pairs already connected, and counts common shingles of the rest exactly. In a larger group, held together by
+chance meetings, each signature is first cut into the components of those members that can be similar by their sketches: a
+bit per slot, the parity of the shingles there, so that two sets differ by at least as many shingles as their sketches by bits.
+The group falls apart into smaller ones, before any text is fetched. One that stays larger is taken signature by signature; a
+signature with more than LEAF sets is cut along the distance to a pivot set (the one that shares most): sets
 linked to the pivot need no comparison with each other, and blocks whose distances differ by more than a link allows are
 not compared (Jaccard distance is a metric). So no task holds more than two blocks, no pairs are written, only links of a
 spanning forest. Components come from star contraction. Sides that grow with the corpus are joined by sort and merge at every
@@ -52,6 +55,8 @@ HOLD = 1 << 16  # rows of a signature that are counted before they are passed on
 _KNOWN = 500_000
 _BLOCK = 1 << 20
 _BINS = 20  # steps of distance to a pivot
+_SKETCH_BITS = 64, 8192  # least and most of a sketch
+_NARROWED = 1 << 14  # rows of a signature whose sketches are compared
 
 INDEXED, LOOKED_UP, INDEXED_LESS_ONE, LOOKED_UP_LESS_ONE = range(4)  # the last two bits of a key
 
@@ -181,14 +186,27 @@ def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(places)
 
 
-_MARKED = "doc_id long, said long, n long, cid long, twin long, keys array<long>, places array<int>"
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in as many slots as there are shingles or more, in words; half as many slots are `folded` ones."""
+    least, most = _SKETCH_BITS
+    slots = min(max(1 << (len(hashes) - 1).bit_length(), least), most)
+    held = np.bincount(((hashes >> np.uint64(40)) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch in `width` words."""
+    return np.bitwise_xor.reduce(words.reshape(-1, width))
+
+
+_MARKED = "doc_id long, said long, n long, cid long, twin long, keys array<long>, places array<int>, sketch binary"
 
 
 def _marker(width: int, percent: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: a copy's keys are those of its first text
         for batch in batches:
-            sizes, cids, twins, keys, places, ends = [], [], [], [], [], [0]
+            sizes, cids, twins, keys, places, ends, sketches = [], [], [], [], [], [0], []
             for text in texts(batch):
                 hashes = shingle_set(text, width, seed)
                 raw = hashes.tobytes()
@@ -197,12 +215,14 @@ def _marker(width: int, percent: int, seed: int):
                 cids.append(cid)
                 twins.append(xxhash.xxh64_intdigest(raw, seed))
                 ends.append(ends[-1])
+                sketches.append(None)
                 if len(hashes) and cid not in seen:
                     seen.add(cid)
                     key, place = signatures(hashes, percent)
                     keys.append(key)
                     places.append(place)
                     ends[-1] += len(key)
+                    sketches[-1] = sketch(hashes).tobytes()
             unsigned = lambda x: longs(signed(np.array(x, np.uint64)))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             where = np.concatenate(places) if places else np.zeros(0, np.int64)
@@ -216,6 +236,7 @@ def _marker(width: int, percent: int, seed: int):
                     unsigned(twins),
                     pa.ListArray.from_arrays(offsets, longs(signed(flat))),
                     pa.ListArray.from_arrays(offsets, pa.array(where.astype(np.int32))),
+                    pa.array(sketches, pa.binary()),
                 ],
                 _names(_MARKED),
             )
@@ -325,6 +346,91 @@ def _allocator(percent: int):
     return run
 
 
+# --- groups ------------------------------------------------------------------------------------------------------
+
+
+def near_parts(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one of its component, over the pairs that can be similar by sizes and sketches."""
+    width = min(map(len, sketches))
+    words = np.stack([folded(one, width) for one in sketches])
+    first, rest = np.arange(len(sizes)), np.arange(len(sizes))
+    while len(rest):
+        start, rest = int(rest[0]), rest[1:]
+        reached = [start]
+        while reached and len(rest):
+            x = reached.pop()
+            apart = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64)
+            near = apart <= (sizes[rest] + sizes[x]) * (100 - percent) // (100 + percent)
+            near &= 100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])
+            first[rest[near]] = start
+            reached += rest[near].tolist()
+            rest = rest[~near]
+    return first
+
+
+def _narrower(percent: int, most: int):
+    """Rows of signatures (sorted by sig, cid) with one signature for each part of several sets; sets alone in theirs are left out.
+
+    A signature with more than `most` rows stays whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        whole = None  # a signature that stays
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows, held = held, []
+            if not rows:
+                return
+            sets: dict[int, int] = {}
+            place = np.array([sets.setdefault(row["cid"], len(sets)) for row in rows])
+            if rows[0]["sig"] != whole:
+                if len(sets) == 1:
+                    return
+                lone = dict(zip(place.tolist(), rows))
+                sketches = [np.frombuffer(lone[n]["sketch"], np.uint64) for n in range(len(sets))]
+                first = near_parts(np.array([lone[n]["n"] for n in range(len(sets))]), sketches, percent)
+                kept = np.flatnonzero(np.bincount(first, minlength=len(sets))[first[place]] > 1)
+                names = mix(np.array([rows[n]["sig"] for n in kept], np.int64).view(np.uint64) + first[place[kept]].astype(np.uint64))
+                rows = [rows[n] | {"sig": name} for n, name in zip(kept, signed(names).tolist())]
+            if rows:
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array([row[x] for row in rows], kind) for x, kind in zip(_names(_ALLOCATED), kinds)], _names(_ALLOCATED))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["sig"] != row["sig"]:
+                    yield from close()
+                held.append(row)
+                if len(held) > most:
+                    whole = row["sig"]
+                    yield from close()
+        yield from close()
+
+    return run
+
+
+def _groups(allocated: DataFrame, classes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of signatures that are looked up and hold two sets or more, and the group of each of their sets (cid, root, n, at, small)."""
+    met = allocated.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"), F.max("level").alias("most")).where("most > 0 AND hub <> other")
+    linked = materialize(allocated.join(met.select("sig", "hub").hint("merge"), "sig"), "jaccard-met")
+    groups = components(linked.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    allocated = linked.drop("hub")
+    members = allocated.select("cid").distinct().join(groups, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    grouped = members.join(classes.select("cid", "n", "at"), "cid")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("root", _small(leaf).alias("small"))
+    return allocated, materialize(grouped.join(sizes, "root"), "jaccard-groups")
+
+
+def _narrowed(allocated: DataFrame, grouped: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """The rows of large groups, their signatures cut by sketches."""
+    wanted = grouped.where("NOT small").select("cid")
+    sketches = marked.where("sketch IS NOT NULL").select("cid", "sketch").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    rows = allocated.join(sketches.hint("merge"), "cid").repartition("sig").sortWithinPartitions("sig", "cid")
+    return materialize(rows.mapInArrow(_narrower(percent, _NARROWED), _ALLOCATED), "jaccard-narrowed")
+
+
 # --- verification ------------------------------------------------------------------------------------------------
 
 
@@ -495,16 +601,18 @@ def _hashed(width: int, seed: int):
     return run
 
 
-def links(allocated: DataFrame, held: DataFrame, grouped: DataFrame, percent: int, leaf: int, width: int, seed: int) -> DataFrame:
-    """Links (a, b) between cids; `grouped` has the group of each cid (cid, root, n, small), and `held` its text beside them."""
-    placed = allocated.join(grouped.select("cid", "root", "small").hint("merge"), "cid")
-    large = materialize(placed.where("NOT small").select("sig", "cid", "n", "kind", "level"), "jaccard-large")
+def links(documents: DataFrame, allocated: DataFrame, grouped: DataFrame, percent: int, leaf: int, width: int, seed: int) -> DataFrame:
+    """Links (a, b) between cids; `grouped` has the group of each cid (cid, root, n, at, small). Both have the `turn` of
+    grouping, 0 or 1, that counts; large groups are left in the second only."""
+    wanted = grouped.select("cid", "root", "small", F.col("at.doc_id").alias("id"), F.col("at.said").alias("as_said"))
+    placed = allocated.join(grouped.select("cid", "turn", "root", "small").hint("merge"), ["cid", "turn"])
     lookups = placed.where("small").groupBy("root", "cid").agg(*_lists())
-    members = _members(held.where("small"), "root").unionByName(_members(lookups, "root"))
+    members = _members(_texts_of(documents, wanted.where("small")), "root").unionByName(_members(lookups, "root"))
     found = _compared(members, percent, width, seed)
-    if large.isEmpty():
+    if grouped.where("NOT small").isEmpty():
         return found
-    sets = held.where("NOT small").select("cid", "text").mapInArrow(_hashed(width, seed), "cid long, hashes binary")
+    large = materialize(placed.where("turn = 1 AND NOT small").select("sig", "cid", "n", "kind", "level"), "jaccard-large")
+    sets = _texts_of(documents, wanted.where("NOT small")).select("cid", "text").mapInArrow(_hashed(width, seed), "cid long, hashes binary")
     sets = materialize(sets.dropDuplicates(["cid"]), "jaccard-hashes")
     sizes = large.groupBy("sig").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("level").alias("most")).where("members > 1 AND most > 0").drop("most")
     sizes = materialize(sizes, "jaccard-signatures")
@@ -535,7 +643,8 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     held = wanted.select(*bits("as_said")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     likely = _said(documents).select("*", *bits("said")).join(F.broadcast(held), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    return likely.select("doc_id", "said", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("said") == F.col("as_said")))
+    likely = likely.select("doc_id", "said", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("said") == F.col("as_said")))
+    return likely.select("cid", "root", "text")
 
 
 def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int = LEAF) -> DataFrame:
@@ -555,18 +664,14 @@ def similar(documents: DataFrame, percent: int = 85, width: int = 4, leaf: int =
     sized = shared.join(classes.select("cid", "n").hint("merge"), "cid").repartition("cid").sortWithinPartitions("cid")
     allocated = materialize(sized.mapInArrow(_allocator(percent), _ALLOCATED), "jaccard-lookups")
 
-    met = allocated.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"), F.max("level").alias("most")).where("most > 0 AND hub <> other")
-    linked = materialize(allocated.join(met.select("sig", "hub").hint("merge"), "sig"), "jaccard-met")
-    groups = components(linked.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-    allocated = linked.drop("hub")
-    members = allocated.select("cid").distinct().join(groups, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
-    grouped = members.join(classes.select("cid", "n", "at"), "cid")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("root", _small(leaf).alias("small"))
-    grouped = materialize(grouped.join(sizes, "root"), "jaccard-groups")
+    rows, grouped = _groups(allocated, classes, leaf)
+    turn = [F.lit(n).alias("turn") for n in range(2)]
+    allocated, groups = rows.select("*", turn[0]), grouped.where("small").select("*", turn[0])
+    if not grouped.where("NOT small").isEmpty():
+        near, near_grouped = _groups(_narrowed(rows, grouped, marked, percent), classes, leaf)
+        allocated, groups = allocated.unionByName(near.select("*", turn[1])), groups.unionByName(near_grouped.select("*", turn[1]))
 
-    wanted = grouped.select("cid", "root", "small", F.col("at.doc_id").alias("id"), F.col("at.said").alias("as_said"))
-    held = _texts_of(documents, wanted).select("cid", "root", "small", "text")
-    roots = components(links(allocated, held, grouped, percent, leaf, width, seed))
+    roots = components(links(documents, allocated, groups, percent, leaf, width, seed))
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = placed.join(named, "root").select("cid", "component_id")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.llm.jaccard_join import allocate, bands, bands_of, difference, shingle_set, signatures, similar
+from pactlens.llm import jaccard_join
+from pactlens.llm.jaccard_join import allocate, bands, bands_of, difference, folded, near_parts, shingle_set, signatures, similar, sketch
 
 
 def plain_set(text, width=4):
@@ -87,6 +88,51 @@ def test_a_similar_pair_always_meets(percent):
         assert found, (len(x), len(y))
 
 
+def test_a_sketch_differs_by_no_more_bits_than_sets_by_shingles(monkeypatch):
+    rng = np.random.default_rng(5)
+    for bits in ((64, 8192), (64, 128)):
+        monkeypatch.setattr(jaccard_join, "_SKETCH_BITS", bits)
+        for size in (1, 2, 40, 64, 65, 300, 1100):
+            common = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            for extra in (0, 1, 3, size // 8, size):
+                x, y = np.unique(common), np.unique(np.concatenate([common[extra // 2 :], rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
+                if len(y):
+                    width = min(len(sketch(x)), len(sketch(y)))
+                    bits_apart = int(np.bitwise_count(folded(sketch(x), width) ^ folded(sketch(y), width)).sum())
+                    assert bits_apart <= len(np.setxor1d(x, y))
+
+
+def test_parts_keep_similar_sets_together_and_cut_others():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(4):
+        one = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        sets += [np.unique(np.concatenate([one[n:], rng.integers(0, 1 << 63, n).astype(np.uint64)])) for n in (0, 10, 20, 30)]
+    first = near_parts(np.array([len(x) for x in sets]), [sketch(x) for x in sets], 85)
+    assert first[:3].tolist() == [0, 0, 0] and first[4:7].tolist() == [4, 4, 4] and len(set(first.tolist())) >= 4
+    assert all(first[n] in (n // 4 * 4, n) for n in range(len(sets)))
+
+
+@pytest.mark.parametrize("narrowed", [1 << 14, 5])
+def test_large_group_of_chance_meetings_falls_apart(make_documents, monkeypatch, narrowed):
+    """Texts with a passage in common are one group; only near copies stay together, before any text is fetched."""
+    monkeypatch.setattr(jaccard_join, "_NARROWED", narrowed)
+    rng = random.Random(9)
+    passage = " ".join(f"p{n}" for n in range(40))
+    texts = []
+    for _ in range(25):
+        text = [f"u{rng.randrange(10**6)}" for _ in range(14)]
+        texts += [passage + " " + " ".join(text), passage + " " + " ".join(text[:-1] + ["other"])]
+    rows = list(enumerate(texts))
+    seen = []
+    links = jaccard_join.links
+    monkeypatch.setattr(jaccard_join, "links", lambda documents, allocated, grouped, *rest: seen.append(grouped) or links(documents, allocated, grouped, *rest))
+    assert got(similar(make_documents(rows), leaf=20)) == plain_similar(rows)
+    if narrowed > len(rows):
+        (groups,) = seen
+        assert groups.where("NOT small").isEmpty() and groups.groupBy("root").count().agg(F.max("count")).first()[0] == 2
+
+
 def test_bands_cover_all_sizes():
     known = bands(85, 10**7)
     assert known[0].low == 1 and all(a.high + 1 == b.low for a, b in zip(known, known[1:]))
