@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pactlens.llm.common import ids_and_text, texts, whole_rows
+from pactlens.llm.common import forget_others, ids_and_text, texts, whole_rows
 
 BITS = 20
 SHAPE = 64  # first buckets, for shares of the text as a whole
 EDGE = b".,;:!?\"'()[]"
 DAMP = 0.25  # a text's word features count by their number to the power -DAMP, so that a few telling words tell in long texts too
-KNOWN = 500_000  # words a worker remembers
+KNOWN = 340_000  # words a worker remembers; a dictionary of over 349,525 takes twice the room
+_PART = 1 << 18  # entries of the fitting sample that are computed at a time
 SCORED = "doc_id long, expected_grade double, tail_probability double, kept boolean"
 
 
@@ -70,7 +71,7 @@ class Model:
     thresholds: np.ndarray
 
     def __post_init__(self):
-        self._known: dict[bytes, tuple[float, int]] = {}
+        self._known: dict[bytes, complex] = {}  # sum and number of weights, in one small object
 
     def score(self, text: bytes) -> float:
         words, distinct = words_of(text)
@@ -78,15 +79,14 @@ class Model:
         known = self._known
         if len(known) > KNOWN:
             known.clear()
-        total = count = 0.0
+        both = 0j
         for word in distinct:
             found = known.get(word)
             if found is None:
                 held = self.weights[word_features(word)]
-                found = known[word] = (float(held.sum()), int(np.count_nonzero(held)))
-            total += found[0]
-            count += found[1]
-        return total * (1 + count) ** -DAMP + shape
+                found = known[word] = complex(float(held.sum()), np.count_nonzero(held))
+            both += found
+        return both.real * (1 + both.imag) ** -DAMP + shape
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... in columns."""
@@ -95,17 +95,29 @@ class Model:
 
 def fit(rows: list[list[int]] | list[np.ndarray], grades: np.ndarray, levels: int, fewest: int = 4, ridge: float = 0.3, steps: int = 60) -> Model:
     """Weights and thresholds of the largest penalised likelihood, by limited-memory quasi-Newton steps."""
-    size = np.array([len(row) for row in rows])
-    flat = np.concatenate([np.asarray(row, np.int64) for row in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    seen = np.bincount(flat, minlength=1 << BITS)
-    kept = (seen[flat] >= fewest) | (flat < SHAPE)
-    flat, doc = flat[kept], doc[kept]
-    columns, flat = np.unique(flat, return_inverse=True)
-    of_word = columns[flat] >= SHAPE
-    per_doc = np.bincount(doc[of_word], minlength=len(rows))
-    value = np.where(of_word, (1.0 + per_doc[doc]) ** -DAMP, 1.0)
-    width, cuts = len(columns), levels - 1
+    seen = np.zeros(1 << BITS, np.int64)
+    for row in rows:
+        np.add.at(seen, np.asarray(row, np.int64), 1)
+    used = seen >= fewest
+    used[:SHAPE] = seen[:SHAPE] > 0
+    columns = np.flatnonzero(used)
+    column = (np.cumsum(used) - 1).astype(np.int32)
+    width, cuts, words_from = len(columns), levels - 1, int(np.searchsorted(columns, SHAPE))
+    # The sample's entries, row by row, are held once, as 32-bit columns; all else is made for a part of them at a time.
+    own = [column[row[used[row]]] for row in map(np.asarray, rows)]
+    size = np.array([len(row) for row in own])
+    damp = (1.0 + np.array([np.count_nonzero(row >= words_from) for row in own])) ** -DAMP
+    flat = np.concatenate(own)
+    del own, seen, used, column
+    ends = np.cumsum(size)
+    edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(_PART, int(ends[-1]), _PART)), [len(rows)]]))
+    parts = [(int(a), int(b), int(ends[a] - size[a]), int(ends[b - 1])) for a, b in zip(edges, edges[1:])]
+
+    def entries(part: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns, documents (from the part's first) and values of a part's entries."""
+        at = flat[part[2] : part[3]].astype(np.int64)
+        doc = np.repeat(np.arange(part[1] - part[0]), size[part[0] : part[1]])
+        return at, doc, np.where(at >= words_from, damp[part[0] : part[1]][doc], 1.0)
 
     share = np.array([(grades >= j).mean() for j in range(1, levels)]).clip(1e-3, 1 - 1e-3)
     start = np.zeros(width + cuts)
@@ -116,7 +128,10 @@ def fit(rows: list[list[int]] | list[np.ndarray], grades: np.ndarray, levels: in
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         gaps = np.exp(np.clip(x[width + 1 :], -20, 20))
         theta = np.concatenate([[x[width]], x[width] + np.cumsum(gaps)])
-        s = np.bincount(doc, x[flat] * value, minlength=len(rows))
+        s = np.zeros(len(rows))
+        for part in parts:
+            at, doc, value = entries(part)
+            s[part[0] : part[1]] = np.bincount(doc, x[at] * value, minlength=part[1] - part[0])
         bounds = np.concatenate([[-60.0], theta, [60.0]])
         high, low = bounds[grades + 1] - s, bounds[grades] - s
         p_high, p_low = 1 / (1 + np.exp(-np.clip(high, -60, 60))), 1 / (1 + np.exp(-np.clip(low, -60, 60)))
@@ -124,7 +139,10 @@ def fit(rows: list[list[int]] | list[np.ndarray], grades: np.ndarray, levels: in
         d_high, d_low = p_high * (1 - p_high) / p, p_low * (1 - p_low) / p
         grad = np.zeros_like(x)
         ds = d_high - d_low  # of the loss by the score
-        grad[:width] = np.bincount(flat, ds[doc] * value, minlength=width) + ridge * x[:width]
+        for part in parts:
+            at, doc, value = entries(part)
+            np.add.at(grad, at, ds[part[0] : part[1]][doc] * value)
+        grad[:width] += ridge * x[:width]
         by_theta = np.array([d_low[grades == j + 1].sum() - d_high[grades == j].sum() for j in range(cuts)])
         grad[width] = by_theta.sum()
         grad[width + 1 :] = np.cumsum(by_theta[::-1])[::-1][1:] * gaps
@@ -182,6 +200,7 @@ def train(documents: DataFrame, graded: DataFrame, levels: int = 3, sample: int
     rows = found.groupBy("doc_id").agg(first.alias("held")).select("doc_id", "held.text", "held.grade").repartition(1)
 
     def fit_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         held = []
         for batch in batches:
             held += zip(batch.column("doc_id").to_pylist(), batch.column("grade").to_pylist(), (np.array(features(text), np.int32) for text in texts(batch)))
@@ -210,6 +229,7 @@ def score(documents: DataFrame, model: Model | None, least: int = 2, tail: float
     sent = documents.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         held = None
         if sent.value is not None:
             weights = np.zeros(1 << BITS, np.float32)

@@ -2,15 +2,17 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pactlens.llm import quality_classifier, quality_rules
-from pactlens.llm.common import table
+from pactlens.llm import packing, quality_classifier, quality_rules, word_tokens
+from pactlens.llm.common import forget_others, table
 
 BIGGER = "/root/testdata/sf0.1"
 
@@ -167,3 +169,33 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
         F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good"), F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("poor")
     ).first()
     assert row.good >= 0.99 and row.poor <= 0.5
+
+
+def test_a_fit_in_parts_takes_little_memory_and_gives_the_same_model(monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [np.append(quality_classifier.SHAPE + draw.integers(0, 200_000, 800), draw.integers(0, 30)).astype(np.int32) for _ in range(3000)]
+    grades = draw.integers(0, 3, len(rows))
+    tracemalloc.start()
+    quality_classifier.fit(rows, grades, 3, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(map(len, rows))
+    few, grades = [row[-60:] for row in rows[:90]] + [rows[0][:0]], np.append(grades[:90], 1)
+    whole = quality_classifier.fit(few, grades, 3, fewest=1)
+    for part in (1, 50, 1000):
+        monkeypatch.setattr(quality_classifier, "_PART", part)
+        model = quality_classifier.fit(few, grades, 3, fewest=1)
+        assert np.array_equal(model.weights, whole.weights) and np.array_equal(model.thresholds, whole.thresholds)
+
+
+def test_classifier_tasks_drop_the_words_that_packing_left(spark, make_documents):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    documents = make_documents([(1, "one two three"), (2, None)])
+    model = quality_classifier.Model(np.zeros(1 << quality_classifier.BITS, np.float32), np.array([-1.0, 1.0]))
+    word_tokens.encoder(tokenizer)
+    assert word_tokens.encoder.cache_info().currsize == 1
+    forget_others()
+    assert word_tokens.encoder.cache_info().currsize == 0
+    packed = packing.pieces(documents, tokenizer).count()
+    assert packed == 2 and quality_classifier.score(documents, model).count() == 2
+    assert packing.pieces(documents, tokenizer).count() == 2

@@ -1,6 +1,7 @@
 """Packing and token files against the tokenizer library used plainly."""
 
 import math
+import sys
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pactlens.llm import packing, token_files
+from pactlens.llm import packing, token_files, word_tokens
 from pactlens.llm.word_tokens import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -122,3 +123,8 @@ def test_dictionary_pieces_come_from_the_whole_document():
     few = token_files.spread(ids, 100, 16)
     assert len(few) == 16 and all(len(x) == 100 for x in few) and ids.startswith(few[0]) and few[-1] in ids[-800:]
     assert token_files.spread(b"", 100, 16) == []
+
+
+def test_a_generation_of_words_fits_a_dictionary_of_a_million_slots():
+    held = dict.fromkeys(range(word_tokens.KNOWN + 15_000))  # a generation ends at a megabyte of text, with its new words
+    assert sys.getsizeof(held) < 25e6
