@@ -52,7 +52,7 @@ BAND_GROWTH = 1.5  # largest by smallest size of a band
 NEIGHBOURS = 32  # one segment in so many has one-deletion neighbourhoods
 LEAF, LEAF_SHINGLES = 4096, 4_000_000  # of a group that one task compares
 HOLD = 1 << 16  # rows of a signature that are counted before they are passed on
-_KNOWN = 500_000
+_KNOWN = 340_000  # words a worker remembers; a dictionary of over 349,525 takes twice the room
 _BLOCK = 1 << 20
 _BINS = 20  # steps of distance to a pivot
 _SKETCH_BITS = 64, 8192  # least and most of a sketch

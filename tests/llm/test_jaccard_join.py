@@ -1,10 +1,13 @@
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pactlens.llm import jaccard_join
+from pactlens.llm.common import BATCH_BYTES, ids_and_text
 from pactlens.llm.jaccard_join import allocate, bands, bands_of, difference, folded, near_parts, shingle_set, signatures, similar, sketch
 
 
@@ -173,3 +176,31 @@ def test_rows_with_odd_values(make_documents):
 def test_empty_table(make_documents):
     frame = similar(make_documents([(1, "a")]).where("false"))
     assert frame.collect() == [] and frame.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_texts_reach_workers_in_small_batches(spark, make_documents):
+    make_documents([])
+    documents = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ten bytes "), 500).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    found = ids_and_text(documents).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(row.n for row in found) == 4000 and max(row.size for row in found) < 2 * BATCH_BYTES[1]
+
+
+def test_batches_of_few_rows_give_the_same_groups(spark, make_documents):
+    texts = near_copies(60, 30, 4, 5)
+    rows = [(n, text) for n, text in enumerate([*texts, *texts[:20], "", None])]
+    documents = make_documents(rows).coalesce(1)
+    before = spark.conf.get(BATCH_BYTES[0])
+    spark.conf.set(BATCH_BYTES[0], "1000")
+    try:
+        assert got(similar(documents)) == plain_similar(rows)
+    finally:
+        spark.conf.set(BATCH_BYTES[0], before)
+
+
+def test_known_words_fit_a_dictionary_of_half_a_million_slots():
+    assert sys.getsizeof(dict.fromkeys(range(jaccard_join._KNOWN))) < 13e6
